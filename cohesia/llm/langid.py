@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 
 from cohesia.llm.batches import map_batches
 
-PER_LANG = 300
+PER_LANG = 600
 MAX_LANGS = 400
 BUCKETS = 1 << 13
 CENTROIDS = 4
 #: A text is rejected if its cosine is below this part of the low quantile that training texts of its size have.
-REJECT_PART, REJECT_QUANTILE, SIZES, CALIBRATE = 0.5, 0.01, 12, 500
+REJECT_PART, REJECT_QUANTILE, SIZES, CALIBRATE = 0.3, 0.01, 12, 500
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.array([i if i >= 128 or chr(i).isalpha() else 32 for i in range(256)], dtype=np.uint32)
@@ -106,11 +106,17 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
 def fit(documents: DataFrame, per_lang: int = PER_LANG) -> Model:
     """Learn from a bounded sample of labelled rows that are not held out."""
     learn = documents.where("lang is not null and text is not null").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    # distinct texts; those with the smallest hashes, cut to about three times the sample before any language meets in one task
+    keys = learn.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    sizes = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MAX_LANGS).collect()}
+    if not sizes:
+        return Model([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(SIZES))
+    share = F.create_map(*(F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, 3 * per_lang / n))))
+    near = keys.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).withColumn("h", F.pmod("h", F.lit(1 << 30)))
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    keys = learn.select("lang", "doc_id", F.xxhash64("text").alias("h"))
-    picked = keys.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_lang)
-    names = sorted(r["lang"] for r in learn.select("lang").distinct().limit(MAX_LANGS).collect())
-    ids = picked.where(F.col("lang").isin(names)).select("doc_id", "lang").distinct().collect()  # per_lang rows a language
+    picked = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_lang)
+    names = sorted(sizes)
+    ids = picked.select("doc_id", "lang").collect()  # per_lang rows a language
     nothing = Model([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(SIZES))
     if not ids:
         return nothing
@@ -121,17 +127,17 @@ def fit(documents: DataFrame, per_lang: int = PER_LANG) -> Model:
             rows = [(la, t) for la, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "text")), strict=True) if _LETTER.search(t)]
             raw = [counts(t) for _, t in rows]
             at = [np.flatnonzero(r) for r in raw]
-            return {"lang": [la for la, _ in rows], "at": at, "n": [r[i] for r, i in zip(raw, at, strict=True)]}
+            return {"lang": [la for la, _ in rows], "at": [i.astype(np.uint16).tobytes() for i in at], "n": [r[i].tobytes() for r, i in zip(raw, at, strict=True)]}
 
         return step
 
-    found = map_batches(learn.join(F.broadcast(some), ["doc_id", "lang"]).select("lang", "text"), make, "lang string, at array<int>, n array<float>").collect()
+    found = map_batches(learn.join(F.broadcast(some), ["doc_id", "lang"]).select("lang", "text"), make, "lang string, at binary, n binary").collect()
     if not found:
         return nothing
     raw = np.zeros((len(found), BUCKETS), dtype=np.float32)
-    rows = sorted(((r["lang"], tuple(r["at"]), tuple(r["n"])) for r in found), key=lambda r: (r[0], hash(r[1:])))
+    rows = sorted((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in found)
     for i, (_, at, n) in enumerate(rows):
-        raw[i, list(at)] = n
+        raw[i, np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.float32)
     idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
     model = Model([], idf, nothing.centroids, nothing.limits)
     x = model.vectors(raw)
