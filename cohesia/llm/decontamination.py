@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohesia.llm.batches import map_batches
+from cohesia.llm.batches import filter_batches, map_batches
 
 Q = 8
 EDIT_RATE = 0.10
@@ -218,7 +218,14 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def remove(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any benchmark item, columns unchanged."""
-    bad = matches(documents, benchmark).select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti")
+def remove(documents: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
+    """The documents without any benchmark item, columns unchanged; nothing is shuffled."""
+    for block in _blocks(benchmark):
+        shared = documents.sparkSession.sparkContext.broadcast(block)
+
+        def make(shared=shared):
+            index = Index(shared.value, rate)
+            return lambda batch: [not index.search(t) for t in batch.column("text").to_pylist()]
+
+        documents = filter_batches(documents, make)
+    return documents

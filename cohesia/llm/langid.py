@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohesia.llm.batches import map_batches
+from cohesia.llm.batches import filter_batches, map_batches
 
 PER_LANG = 600
 MAX_LANGS = 400
@@ -173,3 +173,14 @@ def identify(documents: DataFrame) -> DataFrame:
     out = predict(documents, fit(documents))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def keep_identified(documents: DataFrame) -> DataFrame:
+    """The documents that are not rejected, columns unchanged; learns as ``identify`` does."""
+    shared = documents.sparkSession.sparkContext.broadcast(fit(documents))
+
+    def make():
+        known = shared.value
+        return lambda batch: [not r for r in known.predict(batch.column("text").to_pylist())[2]]
+
+    return filter_batches(documents, make)

@@ -169,3 +169,9 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     of_linked = members.join(least, "component").select(F.col("node").alias("fp"), "least")
     of_all = scratch.keep(groups.join(of_linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     return prints.join(of_all, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One document of each group, that with the smallest doc_id; columns unchanged."""
+    first = near_duplicates(documents, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
+    return documents.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["doc_id"])
