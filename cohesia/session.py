@@ -74,6 +74,7 @@ class Scratch:
         self._n += 1
         path = f"{self.root}/t{self._n}"
         df.write.mode("overwrite").parquet(path)
+        self.spark.sparkContext._jvm.System.gc()  # shuffle files of finished steps go when the driver has no more use for them
         out = self.spark.read.schema(df.schema).parquet(path)
         out._cohesia_path = path
         return out
