@@ -39,12 +39,13 @@ def rand_value(cells: Column, a: Column, b: Column, n: Column) -> Column:
 
 
 def ari_of(table: DataFrame, keys: list[str]) -> DataFrame:
+    asked = keys
     table, keys = _keyed(table, keys)
     rows, columns, whole = _margins(table, keys)
     s = table.groupBy(*keys).agg(F.sum(_pairs(C("nij"))).alias("s"))
     a = rows.groupBy(*keys).agg(F.sum(_pairs(C("ai"))).alias("a"))
     b = columns.groupBy(*keys).agg(F.sum(_pairs(C("bj"))).alias("b"))
-    return whole.join(s, keys).join(a, keys).join(b, keys).select(*keys, rand_value(C("s"), C("a"), C("b"), C("n")).alias("value")).drop(_ONE)
+    return whole.join(s, keys).join(a, keys).join(b, keys).select(*asked, rand_value(C("s"), C("a"), C("b"), C("n")).alias("value"))
 
 
 def ari(df: DataFrame, truth: str, pred: str, keys: list[str] | None = None) -> DataFrame:
@@ -71,6 +72,7 @@ def ami_of(table: DataFrame, keys: list[str]) -> DataFrame:
     The expected information sums over possible cell counts; margins are grouped by
     their value first, so the sum runs over distinct pairs of margins only.
     """
+    asked = keys
     table, keys = _keyed(table, keys)
     rows, columns, whole = _margins(table, keys)
     joined = table.join(rows, [*keys, "t"]).join(columns, [*keys, "p"]).join(whole, keys)
@@ -90,7 +92,7 @@ def ami_of(table: DataFrame, keys: list[str]) -> DataFrame:
     bottom = mean - C("emi")
     safe = F.when(bottom < 0, F.least(bottom, F.lit(-2.220446049250313e-16))).otherwise(F.greatest(bottom, F.lit(2.220446049250313e-16)))
     trivial = (C("h_ai") == 0) & (C("h_bj") == 0)
-    return all_of.select(*keys, F.when(trivial, 1.0).otherwise((C("mi") - C("emi")) / safe).alias("value")).drop(_ONE)
+    return all_of.select(*asked, F.when(trivial, 1.0).otherwise((C("mi") - C("emi")) / safe).alias("value"))
 
 
 def ami(df: DataFrame, truth: str, pred: str, keys: list[str] | None = None) -> DataFrame:
@@ -142,12 +144,12 @@ def pairwise_classes(df: DataFrame, truth: str, pred: str, mode: str = "all_pair
         raise ValueError(f"Unknown mode: {mode}")
     table, own = _keyed(contingency(df, truth, pred, keys), keys or [])
     classes = table.select(*own, "t").distinct()
-    pairs = classes.withColumnRenamed("t", "a").join(classes.withColumnRenamed("t", "b"), own).where("a <= b")
-    cells = table.join(pairs, own).where((C("t") == C("a")) | (C("t") == C("b")))
-    enough = cells.groupBy(*own, "a", "b").agg(F.sum("nij").alias("w")).where("w >= 2")
-    scores = ari_of(cells, [*own, "a", "b"]).join(enough, [*own, "a", "b"])
+    pairs = classes.withColumnRenamed("t", "one").join(classes.withColumnRenamed("t", "two"), own).where("one <= two")
+    cells = table.join(pairs, own).where((C("t") == C("one")) | (C("t") == C("two")))
+    enough = cells.groupBy(*own, "one", "two").agg(F.sum("nij").alias("w")).where("w >= 2")
+    scores = ari_of(cells, [*own, "one", "two"]).join(enough, [*own, "one", "two"])
     average = lambda when: F.coalesce(F.avg(F.when(when, C("value"))), F.lit(0.0))
-    value = F.avg("value") if mode == "all_pairs" else (average(C("a") == C("b")) + average(C("a") < C("b"))) / 2
+    value = F.avg("value") if mode == "all_pairs" else (average(C("one") == C("two")) + average(C("one") < C("two"))) / 2
     return scores.groupBy(*own).agg(value.alias("value")).drop(_ONE)
 
 
