@@ -14,9 +14,9 @@ from cohesia.operators.frames import points
 C = F.col
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, value): the non-blank lines of a file in order."""
-    text = spark.read.text(path).where(F.trim("value") != "")
+def _lines(spark: SparkSession, path: str, skip: str = "") -> DataFrame:
+    """(pos, value): the non-blank lines of a file in order, without those that begin with a character of skip."""
+    text = spark.read.text(path).where((F.trim("value") != "") & ~F.substring(F.trim("value"), 1, 1).isin(list(skip)))
     # splits of one file are read in order: the id's upper bits number them, so ranks follow from counts a split
     marked = text.select("value", F.monotonically_increasing_id().alias("mid")).withColumn("part", F.shiftright("mid", 33)).withColumn("at", C("mid").bitwiseAND((1 << 33) - 1))
     sizes = marked.groupBy("part").agg((F.max("at") + 1).alias("n"))
@@ -45,7 +45,7 @@ def _coded(df: DataFrame, value: str) -> DataFrame:
 
 def read_arff(spark: SparkSession, path: str, dataset: str = "data") -> DataFrame:
     """ARFF with numeric attributes and the class last."""
-    rows = _lines(spark, path).where(~C("value").startswith("@") & ~C("value").startswith("%")).withColumn("cells", F.transform(F.split("value", ","), lambda v: F.trim(v)))
+    rows = _lines(spark, path, "@%").withColumn("cells", F.transform(F.split("value", ","), lambda v: F.trim(v)))
     cut = rows.select("pos", F.transform(F.slice("cells", 1, F.size("cells") - 1), lambda v: v.cast("double")).alias("x"), F.element_at("cells", -1).alias("name"))
     return points(_coded(cut, "name"), C("pos"), C("x"), C("label"), dataset)
 
