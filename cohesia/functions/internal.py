@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohesia.functions.vectors import dist, sq_dist
+from cohesia.functions.vectors import dist, sq_dist_of_few
 from cohesia.operators.frames import KEYS
 from cohesia.operators.stats import centroid_pairs, centroids, cluster_stats, covariances, with_centroid_list
 from cohesia.session import ship
@@ -28,7 +28,7 @@ def ratio(a: Column | float, b: Column) -> Column:
 def _whole(s: DataFrame, dim: int) -> DataFrame:
     """(keys, n, k, ssw, ssb, ...): sums over the clusters."""
     return s.groupBy(*KEYS).agg(
-        F.max("big_n").alias("n"), F.max("k").alias("k"), F.sum("ssw").alias("ssw"), F.sum(C("n") * sq_dist(C("mu"), C("mu_all"), dim)).alias("ssb"), F.sum("sd").alias("sd"), F.sum("sd_all").alias("sd_all"),
+        F.max("big_n").alias("n"), F.max("k").alias("k"), F.sum("ssw").alias("ssw"), F.sum(C("n") * sq_dist_of_few(C("mu"), C("mu_all"))).alias("ssb"), F.sum("sd").alias("sd"), F.sum("sd_all").alias("sd_all"),
         F.max(C("ssw") / C("n")).alias("max_msq"), F.sum(C("ssw") / C("n")).alias("sum_msq"), F.max("n").alias("max_n"),
     )
 
@@ -128,7 +128,7 @@ def partition_separation(p: DataFrame, dim: int) -> DataFrame:
     """Relative sizes less exp(-d^2 / beta) to the nearest centroid, beta the mean square of centroids about their mean."""
     c = centroids(p, dim)
     mid = c.groupBy(*KEYS).agg(F.array(*(F.avg(C("mu")[i]) for i in range(dim))).alias("mid"), F.max("n").alias("top"))
-    beta = c.join(mid, KEYS).groupBy(*KEYS).agg(F.avg(sq_dist(C("mu"), C("mid"), dim)).alias("beta"), F.max("top").alias("top"))
+    beta = c.join(mid, KEYS).groupBy(*KEYS).agg(F.avg(sq_dist_of_few(C("mu"), C("mid"))).alias("beta"), F.max("top").alias("top"))
     near = centroid_pairs(c, dim).select(*KEYS, F.explode(F.array("li", "lj")).alias("label"), "d2").groupBy(*KEYS, "label").agg(F.min("d2").alias("d2"))
     return c.join(near, [*KEYS, "label"]).join(beta, KEYS).groupBy(*KEYS).agg(F.sum(C("n") / C("top") - F.exp(-ratio(C("d2"), C("beta")))).alias("value"))
 
@@ -136,7 +136,7 @@ def partition_separation(p: DataFrame, dim: int) -> DataFrame:
 def score_function(p: DataFrame, dim: int) -> DataFrame:
     """1 - exp(-exp(between - within)), between the weighted mean square of centroids by clusters, within the sum of mean distances."""
     s = cluster_stats(p, dim)
-    between = F.sum(C("n") * sq_dist(C("mu"), C("mu_all"), dim)) / (F.max("big_n") * F.max("k"))
+    between = F.sum(C("n") * sq_dist_of_few(C("mu"), C("mu_all"))) / (F.max("big_n") * F.max("k"))
     return s.groupBy(*KEYS).agg((1 - F.exp(-F.exp(between - F.sum(C("sd") / C("n"))))).alias("value"))
 
 

@@ -28,6 +28,11 @@ def sq_dist(a: Column, b: Column, dim: int) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
+def sq_dist_of_few(a: Column, b: Column) -> Column:
+    """Squared Euclidean distance for tables of clusters: compiles at once, whatever the dimension."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+
+
 def dist(a: Column, b: Column, dim: int, metric: str = "euclidean") -> Column:
     """Distance of two arrays by name of the metric."""
     if metric == "euclidean":

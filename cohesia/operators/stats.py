@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohesia.functions.vectors import dist, sq_dist
+from cohesia.functions.vectors import dist, sq_dist, sq_dist_of_few
 from cohesia.operators.frames import KEYS
 
 
@@ -23,9 +23,9 @@ def cluster_stats(p: DataFrame, dim: int, metric: str = "euclidean") -> DataFram
     """(keys, label, n, mu, big_n, k, mu_all, ssw, sd, sd_all): sums of squared and plain distances to the centroid, and to the centre."""
     c = centroids(p, dim)
     about = c.join(centre(c, dim), KEYS)
-    d2, d = sq_dist(F.col("x"), F.col("mu"), dim), dist(F.col("x"), F.col("mu"), dim, metric)
-    joined = p.select(*KEYS, "label", "x").join(about.select(*KEYS, "label", "mu", "mu_all"), [*KEYS, "label"])
-    sums = joined.groupBy(*KEYS, "label").agg(F.sum(d2).alias("ssw"), F.sum(d).alias("sd"), F.sum(dist(F.col("x"), F.col("mu_all"), dim, metric)).alias("sd_all"))
+    joined = p.select(*KEYS, "label", "x").join(about.select(*KEYS, "label", "mu", "mu_all"), [*KEYS, "label"]).withColumn("d2", sq_dist(F.col("x"), F.col("mu"), dim))
+    d = F.sqrt("d2") if metric == "euclidean" else dist(F.col("x"), F.col("mu"), dim, metric)
+    sums = joined.groupBy(*KEYS, "label").agg(F.sum("d2").alias("ssw"), F.sum(d).alias("sd"), F.sum(dist(F.col("x"), F.col("mu_all"), dim, metric)).alias("sd_all"))
     return about.join(sums, [*KEYS, "label"])
 
 
@@ -65,7 +65,8 @@ def centroid_pairs(s: DataFrame, dim: int, extra: tuple[str, ...] = (), metric:
     a = s.select(*KEYS, F.col("label").alias("li"), F.col("mu").alias("mu_i"), *(F.col(c).alias(f"{c}_i") for c in extra))
     b = s.select(*KEYS, F.col("label").alias("lj"), F.col("mu").alias("mu_j"), *(F.col(c).alias(f"{c}_j") for c in extra))
     joined = a.join(b, KEYS).where("li < lj")
-    return joined.withColumn("d2", sq_dist(F.col("mu_i"), F.col("mu_j"), dim)).withColumn("dc", dist(F.col("mu_i"), F.col("mu_j"), dim, metric))
+    far = joined.withColumn("d2", sq_dist_of_few(F.col("mu_i"), F.col("mu_j")))
+    return far.withColumn("dc", F.sqrt("d2") if metric == "euclidean" else dist(F.col("mu_i"), F.col("mu_j"), dim, metric))
 
 
 def contingency(df: DataFrame, truth: str, pred: str, keys: list[str] | None = None) -> DataFrame:

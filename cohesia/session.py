@@ -64,8 +64,10 @@ class Scratch:
     later tables have replaced. What is left is removed when Python exits.
     """
 
-    def __init__(self, spark: SparkSession) -> None:
+    def __init__(self, spark: SparkSession, tidy: bool = False) -> None:
+        """tidy: after each table, let the driver give up shuffle files of finished steps (for operators that shuffle much)."""
         self.spark = spark
+        self.tidy = tidy
         self.root = f"{scratch_root(spark)}/cohesia-{uuid.uuid4().hex}"
         self._n = 0
         atexit.register(_delete, spark, self.root)
@@ -74,7 +76,8 @@ class Scratch:
         self._n += 1
         path = f"{self.root}/t{self._n}"
         df.write.mode("overwrite").parquet(path)
-        self.spark.sparkContext._jvm.System.gc()  # shuffle files of finished steps go when the driver has no more use for them
+        if self.tidy:
+            self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._cohesia_path = path
         return out
