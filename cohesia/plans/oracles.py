@@ -225,6 +225,11 @@ def oracle_sql() -> dict[str, str]:
     out |= {k: cl + db for k in ("mst_db", "mst_db_first", "mst_db_third")}
     ch = f", g AS (SELECT arg_min(row_id, (round({_d2('x', 'mu')}, 12), row_id)) AS gid FROM p, (SELECT [avg(x[1]), avg(x[2])] AS mu FROM p)), sb AS (SELECT sum(bn.w * n) AS b, count(*) AS k, sum(n) AS n FROM m JOIN (SELECT label, count(*) AS n FROM p GROUP BY label) USING (label) JOIN bn ON bn.i = m.mid JOIN g ON bn.j = gid) SELECT round((b / (k - 1)) / nullif((SELECT sum(d) FROM d WHERE o = label) / (n - k), 0), 6) AS value FROM sb"
     out |= {k: cl + ch for k in ("mst_ch", "mst_ch_first", "mst_ch_third")}
+    own = cl + ", f0 AS MATERIALIZED (SELECT e0.* FROM e0 JOIN p a ON e0.i = a.row_id JOIN p b ON e0.j = b.row_id WHERE a.label = b.label)"
+    for k in range(7):
+        own += f", f{k + 1} AS MATERIALIZED (SELECT a.i, b.j, min(greatest(a.w, b.w)) AS w FROM f{k} a JOIN f{k} b ON a.j = b.i GROUP BY a.i, b.j)"
+    own += " SELECT round((SELECT max(w) FROM f7 JOIN m ON i = mid) / (SELECT min(w) FROM bn JOIN m x ON bn.i = x.mid JOIN m y ON bn.j = y.mid WHERE x.label <> y.label), 6) AS value"
+    out |= {"mst_sep_ratio": own, "mst_idea": own}
     # merged labels
     merged = f"(SELECT label AS t, least(label, 2) AS p FROM ({POINTS['customer']}))"
     margins = _margins("t", "p", merged)
