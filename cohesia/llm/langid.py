@@ -4,8 +4,9 @@ Texts become normalised TF-IDF vectors of hashed byte n-grams (2 to 4 bytes of
 the lower-cased text, everything that is not a letter read as one break). Each
 language has several centroids from spherical k-means; a text gets the
 language of its most similar centroid by cosine. A text whose cosine distance
-to every centroid is beyond a limit learned from the training texts is
-*rejected*.
+to every centroid is beyond a limit is *rejected*; the limit is learned from a
+tenth of the sampled texts, which the centroids are not learned from (from all
+of them where no language has ten).
 
 Training takes at most ``PER_LANG`` distinct labelled texts of a language (those
 with the smallest text hash) from rows whose crc32(doc_id as text) mod 4 is not
@@ -32,8 +33,10 @@ PER_LANG = 600
 MAX_LANGS = 400
 BUCKETS = 1 << 13
 CENTROIDS = 4
-#: A text is rejected if its cosine is below this part of the low quantile that training texts of its size have.
-REJECT_PART, REJECT_QUANTILE, SIZES, CALIBRATE = 0.3, 0.01, 12, 500
+#: A text is rejected if its cosine is below this quantile of labelled texts of its size that no centroid was learned from.
+REJECT_QUANTILE, SIZES, CALIBRATE = 0.01, 12, 500
+#: Every so many-th sampled text of a language is left out of its centroids, to set the limit.
+ASIDE = 10
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.array([i if i >= 128 or chr(i).isalpha() else 32 for i in range(256)], dtype=np.uint32)
@@ -82,12 +85,12 @@ def _size(total: np.ndarray) -> np.ndarray:
 
 
 def _calibrate(model: Model, raw: np.ndarray) -> np.ndarray:
-    """Limits for each size: the n-grams of training texts are thinned to that many and compared again."""
+    """Limits for each size: the n-grams of texts set aside are thinned to that many and compared."""
     rng = np.random.default_rng(7)
     some = raw[rng.permutation(len(raw))[:CALIBRATE]].astype(np.float64)
     some /= some.sum(axis=1, keepdims=True)
     low = [np.quantile((model.vectors(rng.multinomial(2**b, some).astype(np.float32)) @ model.centroids.T).max(axis=1), REJECT_QUANTILE) for b in range(SIZES)]
-    return REJECT_PART * np.array(low)
+    return np.array(low)
 
 
 def _cluster(x: np.ndarray, k: int) -> np.ndarray:
@@ -141,15 +144,16 @@ def fit(documents: DataFrame, per_lang: int = PER_LANG) -> Model:
     idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
     model = Model([], idf, nothing.centroids, nothing.limits)
     x = model.vectors(raw)
-    langs, parts = [], []
+    langs, parts, aside = [], [], []
     for name in names:
-        own = x[[i for i, r in enumerate(rows) if r[0] == name]]
-        if len(own):
-            c = _cluster(own, CENTROIDS)
+        own = [i for i, r in enumerate(rows) if r[0] == name]
+        if own:
+            aside += own[ASIDE - 1 :: ASIDE]
+            c = _cluster(x[[i for k, i in enumerate(own, 1) if k % ASIDE]], CENTROIDS)
             langs += [name] * len(c)
             parts.append(c)
     model = Model(langs, idf, np.concatenate(parts).astype(np.float32), nothing.limits)
-    return Model(langs, idf, model.centroids, _calibrate(model, raw))
+    return Model(langs, idf, model.centroids, _calibrate(model, raw[aside] if aside else raw))
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
