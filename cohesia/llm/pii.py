@@ -12,7 +12,7 @@ The trees are trained on the driver on generated examples (``EXAMPLES``, a fixed
 number) and shipped to the tasks. Offsets are code points, ends exclusive.
 
 Null or empty text: no spans. Equal spans of one kind count once; a proposed
-span inside a base span is dropped. Repeated rows give repeated rows. Columns
+span inside a base span is dropped. Secrets of any length are one whole span. Repeated rows give repeated rows. Columns
 other than ``doc_id`` and ``text`` are passed through by ``redact`` and not read
 by ``find``.
 """
@@ -35,8 +35,10 @@ from cohesia.llm.boosting import BoostedTrees
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "ssn", "iban", "address")
 PRECISION = 0.97
-EXAMPLES = 6000
+EXAMPLES, LONG_EXAMPLES = 6000, 300
 CONTEXT = 32
+#: Characters of a candidate that its features are taken from; the span is the whole candidate.
+HEAD = 256
 Span = tuple[int, int, str]
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -91,7 +93,8 @@ def base_spans(text: str) -> list[Span]:
 _SIGN = re.compile(r"[=:]")
 _KEY_BEFORE = re.compile(r"([A-Za-z][A-Za-z0-9_-]{1,23})[\"']?[ \t]{0,4}\Z")
 _VALUE_AFTER = re.compile(r"[ \t]{0,4}[\"']?([^\s\"'<>]{6,256})")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,256}")
+_REST = re.compile(r"[^\s\"'<>]*")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 _NATIONAL = re.compile(r"(?<![0-9+])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -101,9 +104,13 @@ _SPELLED = re.compile(r"[A-Za-z0-9._-]{2,40} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{
 def candidates(text: str) -> list[Span]:
     """Overlapping proposals of the kinds the trees decide on."""
     out: set[Span] = set()
+    run = 0  # end of the last value that reached its bound: values within it end there, so a run is read once
     for m in _SIGN.finditer(text):
         if _KEY_BEFORE.search(text, max(0, m.start() - 30), m.start()) and (v := _VALUE_AFTER.match(text, m.end())):
-            out.add((*v.span(1), "secret"))
+            start, end = v.span(1)
+            if end - start == HEAD:
+                end = run = run if end <= run else _REST.match(text, end).end()
+            out.add((start, end, "secret"))
     if _DIGIT.search(text):
         out.update((*m.span(), "secret") for m in _TOKEN.finditer(text) if _DIGIT.search(m[0]))
         out.update((*m.span(), "phone") for m in _NATIONAL.finditer(text))
@@ -126,7 +133,7 @@ _CUES = {
 def features(text: str, span: Span) -> list[float]:
     """Format of a candidate and cues around it."""
     start, end, kind = span
-    s = text[start:end]
+    s = text[start : min(end, start + HEAD)]
     n = len(s)
     before, after = text[max(0, start - CONTEXT) : start].lower(), text[end : end + CONTEXT].lower()
     freq = Counter(s)
@@ -187,6 +194,16 @@ def _examples(seed: int) -> list[tuple[str, Span, int]]:
         left, right = " ".join(word() for _ in range(r.randint(0, 6))), " ".join(word() for _ in range(r.randint(0, 4)))
         head = f"{left} {cue}" if left else cue
         out.append((f"{head}{value}{close} {right}", (len(head), len(head) + len(value), kind), label))
+    # long values, dealt after the others
+    for k in range(LONG_EXAMPLES):
+        jwt = lambda: ".".join(mixed(r.randint(40, 300)) for _ in range(3))
+        if k % 2:
+            cue, value, close = r.choice(("token=", 'token = "', "secret: ", "api_key=", "auth_token: ", "Bearer: ", "")), r.choice((jwt, lambda: mixed(r.randint(257, 700)), lambda: hexed(r.randint(257, 700))))(), ""
+        else:
+            part = r.choice(("/", "-", "_"))
+            cue, value, close = r.choice(("see: ", "path=", "page: ", "")), part.join(word() for _ in range(r.randint(60, 120))) + d(1), ""
+        head = f"{word()} {cue}"
+        out.append((f"{head}{value}{close} {word()}", (len(head), len(head) + len(value), "secret"), k % 2))
     return out
 
 
