@@ -86,6 +86,21 @@ def _common(keyed: DataFrame) -> np.ndarray:
     return rows["s"].to_numpy(dtype=np.int64).view(np.uint64)
 
 
+def _promising(shared: DataFrame, groups: DataFrame, part: int) -> DataFrame:
+    """The pairs (a < b) whose sets can still reach the threshold; ``shared`` has a row for each shared first shingle.
+
+    All that two sets share up to the end of the front that ends first is counted, and that set has ``ceil(0.8 n) - 1`` more.
+    """
+    pairs = shared.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    side = lambda x: groups.select(F.col("rid").alias(x), F.col("n").cast("long").alias(f"n{x}"), F.struct("late", "last").alias(f"end{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    n = F.when(F.col("enda") <= F.col("endb"), F.col("na")).otherwise(F.col("nb"))
+    after = F.floor((n * NUM + DEN - 1) / DEN) - 1
+    need = F.floor(((F.col("na") + F.col("nb")) * NUM + NUM + DEN - 1) / (NUM + DEN))
+    fits = (DEN * F.col("na") >= NUM * F.col("nb")) & (DEN * F.col("nb") >= NUM * F.col("na"))
+    return both.where(fits & (part * F.col("c") >= need - after)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, groups: DataFrame, keyed: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of sets that reach the threshold."""
     ids = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
@@ -122,31 +137,32 @@ def near_copies(documents: DataFrame, scratch: Scratch) -> DataFrame:
             out = {c: batch.column(c) for c in ("doc_id", "r1", "r2")}
             out["rid"] = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], dtype=np.uint64).view(np.int64)
             out["n"] = [len(s) for s in found]
-            out["front"] = [prefix(s, common).view(np.int64) for s in found]
+            fronts = [prefix(s, common) for s in found]
+            out["front"] = [f.view(np.int64) for f in fronts]
+            out["late"] = [bool(len(f)) and bool(np.isin(f[-1], common)) for f in fronts]
+            out["last"] = [int(f[-1]) - (1 << 63) if len(f) else None for f in fronts]  # signed, in the same order
             return out
 
         return step
 
-    rows = scratch.keep(map_batches(keyed, make, "doc_id long, r1 long, r2 long, rid long, n long, front array<long>"))
+    rows = scratch.keep(map_batches(keyed, make, "doc_id long, r1 long, r2 long, rid long, n int, front array<long>, late boolean, last long"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("first")
-    groups = scratch.keep(rows.groupBy("rid").agg(first, F.min("n").alias("n"), F.min("front").alias("front")))
-    dealt = groups.select("rid", "n", F.posexplode("front").alias("at", "s"))
+    whole = scratch.keep(rows.groupBy("rid").agg(first, F.min("n").alias("n"), F.min("front").alias("front"), F.min("late").alias("late"), F.min("last").alias("last")))
+    scratch.drop(rows)
+    groups = whole.select("rid", "first", "n", "late", "last")
+    dealt = whole.select("rid", F.explode("front").alias("s")).repartition("s")
     met = dealt.groupBy("s").agg(F.min("rid").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     buckets = scratch.keep(dealt.join(met, "s"))
-    pairs = scratch.keep(buckets.where("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")).distinct())
+    # a pair shares more than the shingles it shares with the pivot counted here: half of what is needed is asked for
+    pairs = scratch.keep(_promising(buckets.where("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")), groups, 2))
     links = _verified(pairs, groups, keyed, scratch)
     members = scratch.keep(connected_components(links, Scratch(documents.sparkSession)))
-    labelled = buckets.join(members.select(F.col("node").alias("rid"), "component"), "rid", "left").select("s", "rid", "n", "at", F.coalesce("component", "rid").alias("c"))
+    labelled = buckets.join(members.select(F.col("node").alias("rid"), "component"), "rid", "left").select("s", "rid", F.coalesce("component", "rid").alias("c"))
     open_ = labelled.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s")
     left = scratch.keep(labelled.join(open_, "s"))
-    one, two = (left.select("s", *(F.col(c).alias(f"{c}{k}") for c in ("rid", "n", "at", "c"))) for k in (1, 2))
-    # sizes must fit, and what follows the shared shingle must be enough
-    rest = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
-    fits = one.join(two, "s").where("rid1 < rid2 and c1 <> c2").where((DEN * F.col("n1") >= NUM * F.col("n2")) & (DEN * F.col("n2") >= NUM * F.col("n1")))
-    # the first shared shingle of a pair that reaches the threshold always passes
-    fits = fits.where((NUM + DEN) * rest >= NUM * (F.col("n1") + F.col("n2"))).select(F.col("rid1").alias("a"), F.col("rid2").alias("b")).distinct()
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(scratch.keep(fits.join(tried, ["a", "b"], "left_anti")), groups, keyed, scratch)
+    one, two = (left.select("s", F.col("rid").alias(x), F.col("c").alias(f"c{x}")) for x in ("a", "b"))
+    met = _promising(one.join(two, "s").where("a < b and ca <> cb").select("a", "b"), groups, 1)
+    more = _verified(scratch.keep(met.join(pairs, ["a", "b"], "left_anti")), groups, keyed, scratch)
     final = scratch.keep(connected_components(links.union(more), Scratch(documents.sparkSession)))
     in_group = groups.join(final.select(F.col("node").alias("rid"), "component"), "rid", "left").select(F.coalesce("component", "rid").alias("c"), "first")
     return scratch.keep(in_group.groupBy("c").agg(F.min("first").alias("first")).select("first.r1", "first.r2"))
