@@ -184,13 +184,16 @@ def weighted_bootstrap(df: DataFrame, truth: str, pred: str, row_id: str, rounds
     sizes = df.where(F.col(truth).isNotNull() & F.col(pred).isNotNull()).groupBy(F.col(truth).alias("t")).agg(F.count(F.lit(1)).alias("size"))
     whole = sizes.agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("k")).first()
     rate = F.lit(float(whole["n"] or 0) / max(whole["k"], 1)) / C("size")
-    u = (F.pmod(F.xxhash64("row_id", "round", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    # inverse of the Poisson distribution function, up to 12 draws of a point
-    below, term, times = F.lit(0.0), F.exp(-rate), F.lit(0)
-    for k in range(12):
-        below = below + term
-        times = times + (u > below).cast("int")
-        term = term * rate / (k + 1)
+    # a large mean is drawn in parts of at most 8, each with its own hash; their number adds up to no more than the points and an eighth
+    sizes = sizes.withColumn("parts", F.greatest(F.ceil(rate / 8), F.lit(1))).withColumn("rate", rate / C("parts"))
+    # Poisson distribution function of a part, as far as the 52 bits of a hash can tell
+    term = F.exp(-C("rate"))
+    step = lambda s, k: F.struct((s["below"] + s["term"]).alias("below"), (s["term"] * C("rate") / (k + 1)).alias("term"), F.concat(s["all"], F.array(s["below"] + s["term"])).alias("all"))
+    below = F.aggregate(F.sequence(F.lit(0), F.lit(59)), F.struct(F.lit(0.0).alias("below"), term.alias("term"), F.array().cast("array<double>").alias("all")), step, lambda s: s["all"])
+    sizes = sizes.withColumn("below", below)
+    seeds = F.when(C("part") == 0, F.xxhash64("row_id", "round", F.lit(seed))).otherwise(F.xxhash64("row_id", "round", F.lit(seed), "part"))
+    u = (F.pmod(seeds, F.lit(1 << 52)) + 0.5) / float(1 << 52)
     drawn = df.select(F.col(truth).alias("t"), F.col(pred).alias("p"), F.col(row_id).alias("row_id"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).where("t is not null and p is not null").join(sizes, "t")
-    table = drawn.withColumn("w", times).where("w > 0").groupBy("round", "t", "p").agg(F.sum("w").alias("nij"))
+    drawn = drawn.withColumn("part", F.explode(F.sequence(F.lit(0), (C("parts") - 1).cast("int")))).withColumn("u", u)
+    table = drawn.withColumn("w", F.size(F.filter("below", lambda x: C("u") > x))).where("w > 0").groupBy("round", "t", "p").agg(F.sum("w").alias("nij"))
     return ari_of(table, ["round"]).agg(F.avg("value").alias("value"))
