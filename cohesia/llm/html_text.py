@@ -1,29 +1,36 @@
-"""Main text of web pages from streaming parser events.
+"""Main text of web pages from text-to-tag ratios over streaming parser events.
 
 The standard library's parser is read once per page. Its events are folded into
 *lines*: the text of one block, with the number of tags and of link characters
-seen in it and the chain of containers it stands in. Lines inside page furniture
-(navigation, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments; by element, role, class or id) are never content.
-Each other line gets a text-to-tag ratio; the ratios are smoothed with a
-Gaussian kernel and lines above the threshold (the standard deviation of the
-smoothed ratios, at most their mean) form content clusters. The cluster with the most text selects
-its *region*: the article or main element it stands in or, failing that, the
-innermost container that holds nine tenths of all clusters' text. Every
-line of the region that is not furniture is kept, so short paragraphs inside an
-article stay.
+seen in it and the element it stands in. Every line, whatever its element is
+called, gets a text-to-tag ratio (characters outside links over tags); the ratios
+are smoothed with a Gaussian kernel, and lines whose smoothed ratio reaches the
+threshold (the standard deviation of the smoothed ratios, at most their mean) form
+content clusters. Elements are then judged by the clusters: text whose own ratio reaches
+the threshold counts for an element, text outside the clusters counts against it
+(``LINK`` times where it is link text), and the element with the best balance is the content
+region, the innermost on a tie. Where article or main elements hold most of the
+content, only they compete. All lines of the region are kept, and headings that stand
+directly before it and are no links, so short paragraphs stay.
+
+Names only veto: lines of page furniture (navigation, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles, reader comments; by element, role, class
+or id) are left out of what the ratios have selected. Of a region that is the
+whole body, lines before the first cluster and after the last one go as well.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined by two line feeds in page order. A line break element counts as
 white space. Null or empty pages, and pages without text, give an empty string.
-Unclosed elements end with their parent. Repeated rows give repeated rows.
+Unclosed elements end with their parent. Repeated rows give repeated rows. Pages
+may be nested to any depth and of any length: time and memory grow with the page.
 Columns other than ``page_id``, ``url`` and ``html`` are not read.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -33,6 +40,8 @@ from cohesia.llm.batches import map_batches
 
 SIGMA = 1.0
 RADIUS = 2
+#: How much a character of link text outside the clusters weighs against an element.
+LINK = 4
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -40,38 +49,54 @@ _BLOCK = frozenset(
     "hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 _FURNITURE = frozenset(
-    "nav header footer aside form script style noscript template head title menu iframe object embed svg math canvas audio video select option button textarea input label fieldset dialog".split()
+    "nav header footer aside form script style noscript template head title menu iframe object embed svg math canvas audio video select option button textarea "
+    "input label fieldset dialog".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class and id values that mark furniture.
 _WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial adsense banner banners sponsor sponsored promo promos promotion promoted cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay newsletter subscribe subscription signup login paywall nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars aside "
-    "footer footnav header masthead topbar toolbar comment comments commentlist disqus replies respond reviews related recommended recommendations share sharing social widget widgets "
-    "skip copyright legal disclaimer outbrain taboola".split()
+    "ad ads advert adverts advertisement advertising advertorial adsense banner banners sponsor sponsored promo promos promotion promoted cookie cookies consent "
+    "gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall nav navbar navigation menu menus breadcrumb breadcrumbs "
+    "pagination pager sidebar sidebars aside footer footnav header masthead topbar toolbar comment comments commentlist disqus replies respond reviews related "
+    "recommended recommendations share sharing social widget widgets skip copyright legal disclaimer outbrain taboola".split()
 )
+#: With one of these beside it, the word "header" names the head of the article itself.
+_OWN = frozenset("article post entry story content".split())
 _REGION = frozenset(("article", "main"))
-_CONTAINER = frozenset("article main section div body td blockquote".split())
+#: Of an article element outside all others, only these words make furniture.
+_READERS = frozenset("comment comments commentlist disqus replies respond".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that may be the region.
+_CONTAINER = frozenset("article main section div body td center blockquote".split())
+_CELL_ENDS = frozenset(("td", "th", "tr", "tbody", "tfoot"))
 #: Start tags that end an open element of these names (the element's closing tag may be left out).
 _ENDS = {
     "p": frozenset(_BLOCK - {"option", "optgroup", "caption", "legend", "head", "title", "html", "body"}),
-    "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "td": frozenset(("td", "th", "tr", "tbody", "tfoot")), "th": frozenset(("td", "th", "tr", "tbody", "tfoot")),
-    "tr": frozenset(("tr", "tbody", "tfoot")), "option": frozenset(("option", "optgroup")), "head": frozenset(("body",)),
-}
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+    "li": frozenset(("li",)),
+    "dt": frozenset(("dt", "dd")),
+    "dd": frozenset(("dt", "dd")),
+    "td": _CELL_ENDS,
+    "th": _CELL_ENDS,
+    "tr": frozenset(("tr", "tbody", "tfoot")),
+    "option": frozenset(("option", "optgroup")),
+    "head": frozenset(("body",)),
+}
+_NOTHING: frozenset[str] = frozenset()
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
-    number: int
+    number: int  # in order of start tags, so the elements inside one have the numbers after it
+    up: int  # the number of the element around it, -1 for the page
     furniture: bool
-    chain: tuple[int, ...]  # containers from the root to this element
-    region: int  # the nearest article or main, -1 if none
+    region: bool  # inside an article or main, or one itself
 
 
-@dataclass
+@dataclass(slots=True)
 class Line:
     text: str
     tags: int
@@ -79,84 +104,79 @@ class Line:
     node: Node
 
 
-@dataclass
 class Lines(HTMLParser):
     """Folds parser events into lines."""
 
-    lines: list[Line] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.count = 0
-        self.root = Node("", 0, False, (0,), -1)
-        self.stack = [self.root]
+        self.lines: list[Line] = []
+        self.nodes = [Node("", 0, -1, False, False)]
+        self.stack = self.nodes[:]
+        self.open: Counter[str] = Counter()
         self.text: list[str] = []
-        self.tags = self.links = self.anchors = 0
+        self.tags = self.links = 0
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
             self.lines.append(Line(text, self.tags, self.links, self.stack[-1]))
-        if self.text or text:
-            self.text = []
+        self.text = []
         self.tags = self.links = 0
 
+    def _pop(self) -> None:
+        self.open[self.stack.pop().tag] -= 1
+
+    def _end_by(self, tag: str) -> None:
+        while len(self.stack) > 1 and tag in _ENDS.get(self.stack[-1].tag, _NOTHING):
+            self._pop()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _BLOCK:
             self.flush()
         self.tags += 1
-        while len(self.stack) > 1 and tag in _ENDS.get(self.stack[-1].tag, ()):
-            self.stack.pop()
+        self._end_by(tag)
         if tag == "br":
             self.text.append(" ")
         if tag == "body":  # whatever was open in the head ends
-            del self.stack[2 if len(self.stack) > 1 and self.stack[1].tag == "html" else 1 :]
+            while len(self.stack) > (2 if len(self.stack) > 1 and self.stack[1].tag == "html" else 1):
+                self._pop()
         if tag in _VOID:
             return
         if tag in _BLOCK:
             # an inline element left open does not reach into the next block
             while len(self.stack) > 1 and self.stack[-1].tag not in _BLOCK and not self.stack[-1].furniture:
-                self.anchors -= self.stack.pop().tag == "a"
-            while len(self.stack) > 1 and tag in _ENDS.get(self.stack[-1].tag, ()):
-                self.stack.pop()
+                self._pop()
+            self._end_by(tag)
         up = self.stack[-1]
-        self.count += 1
-        chain = (*up.chain, self.count) if tag in _CONTAINER else up.chain
-        furniture = up.furniture or self._furniture(tag, dict(attrs), up)
-        self.stack.append(Node(tag, self.count, furniture, chain, self.count if tag in _REGION else up.region))
-        self.anchors += tag == "a"
-
-    @staticmethod
-    def _furniture(tag: str, attrs: dict[str, str | None], up: Node) -> bool:
-        if tag == "header" and up.region >= 0:  # an article's own heading
-            return False
-        if tag in _FURNITURE or "hidden" in attrs or (attrs.get("aria-hidden") or "") == "true" or (attrs.get("role") or "").lower() in _ROLES:
-            return True
-        if tag in ("html", "body") or tag in _REGION:
-            return False
-        marks = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-        return bool(marks.strip()) and not _WORDS.isdisjoint(w.lower() for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", marks).lower()))
+        node = Node(tag, len(self.nodes), up.number, up.furniture or _is_furniture(tag, dict(attrs), up), up.region or tag in _REGION)
+        self.nodes.append(node)
+        self.stack.append(node)
+        self.open[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _BLOCK or tag == "br":
-            self.flush() if tag != "br" else self.text.append(" ")
+        if tag == "br":
+            self.text.append(" ")
+        elif tag in _BLOCK:
+            self.flush()
         self.tags += 1
-        for at in range(len(self.stack) - 1, 0, -1):
-            if self.stack[at].tag == tag:
-                for node in self.stack[at:]:
-                    self.anchors -= node.tag == "a"
-                del self.stack[at:]
-                return
-            if tag not in _BLOCK and self.stack[at].tag in _BLOCK:
-                return  # an inline end tag does not close a block
+        if not self.open[tag]:
+            return
+        if tag not in _BLOCK:  # an inline end tag does not close a block
+            for node in reversed(self.stack):
+                if node.tag == tag:
+                    break
+                if node.tag in _BLOCK:
+                    return
+        while self.stack[-1].tag != tag:
+            self._pop()
+        self._pop()
 
     def handle_data(self, data: str) -> None:
-        node = self.stack[-1]
-        if node.furniture and (node.tag in ("script", "style")):
+        if self.stack[-1].tag in ("script", "style"):
             return
         if self.text or not data.isspace():
-            if self.anchors > 0:
-                self.links += len(data)
+            if self.open["a"]:
+                self.links += len(data.strip())
             self.text.append(data)
 
     def finish(self) -> list[Line]:
@@ -165,6 +185,27 @@ class Lines(HTMLParser):
         return self.lines
 
 
+def _is_furniture(tag: str, attrs: dict[str, str | None], up: Node) -> bool:
+    """Whether an element starts page furniture by its own name, role, class or id."""
+    if tag == "header" and up.region:  # an article's own heading
+        return False
+    if tag in _FURNITURE or "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in _ROLES:
+        return True
+    marks = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
+    if tag in ("html", "body", "main") or marks.isspace():
+        return False
+    words = set(_SPLIT.split(_HUMP.sub(" ", marks).lower()))
+    if tag == "article" and not up.region:
+        return not words.isdisjoint(_READERS)
+    found = words & _WORDS
+    return found != {"header"} and bool(found) or bool(found) and not up.region and words.isdisjoint(_OWN)
+
+
+def ratios(lines: list[Line]) -> np.ndarray:
+    """Characters outside links over tags, line by line."""
+    return np.array([max(0, len(x.text) - x.links) / max(1, x.tags) for x in lines])
+
+
 def smooth(values: np.ndarray) -> np.ndarray:
     """Gaussian smoothing with renormalised weights at the ends."""
     kernel = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
@@ -172,40 +213,60 @@ def smooth(values: np.ndarray) -> np.ndarray:
     return np.convolve(values, kernel)[RADIUS:-RADIUS] / weight
 
 
+def clusters(ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are in content clusters, and which of them reach the threshold by their own ratio."""
+    smoothed = smooth(ratio)
+    limit = min(smoothed.std(), smoothed.mean())
+    inside = smoothed >= limit
+    return inside, inside & (ratio >= limit)
+
+
+def _region(lines: list[Line], nodes: list[Node], inside: np.ndarray, own: np.ndarray) -> tuple[int, int]:
+    """First and last number of the elements of the content region."""
+    balance, content = np.zeros(len(nodes)), np.zeros(len(nodes))
+    for x, near, full in zip(lines, inside.tolist(), own.tolist(), strict=True):
+        if full and not x.node.furniture:
+            balance[x.node.number] += len(x.text)
+            content[x.node.number] += len(x.text)
+        elif not near:
+            balance[x.node.number] -= len(x.text) + (LINK - 1) * min(x.links, len(x.text))
+    end = np.arange(len(nodes))
+    for node in reversed(nodes[1:]):
+        balance[node.up] += balance[node.number]
+        content[node.up] += content[node.number]
+        end[node.up] = max(end[node.up], end[node.number])
+    heads = [n.number for n in nodes if n.tag in _REGION and not n.furniture]
+    inmost = [n for n in heads if not nodes[nodes[n].up].region]
+    if 2 * content[inmost].sum() > content[0]:
+        allowed = heads
+    else:
+        allowed = [0, *(n.number for n in nodes if n.tag in _CONTAINER and not n.furniture)]
+    best = max(allowed, key=lambda n: (balance[n], n))
+    return best, int(end[best])
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = Lines()
     parser.feed(html)
-    lines = [x for x in parser.finish() if not x.node.furniture]
-    if not lines:
+    lines = parser.finish()
+    if all(x.node.furniture for x in lines):
         return ""
-    size = np.array([len(x.text) for x in lines], dtype=float)
-    ratio = np.array([max(0, len(x.text) - x.links) / max(1, x.tags) for x in lines])
-    smoothed = smooth(ratio)
-    content = smoothed >= min(smoothed.std(), smoothed.mean())
-    if not content.any():
-        content[:] = True
-    # runs of content lines are clusters; the one with the most text leads
-    bounds = np.flatnonzero(np.diff(np.r_[0, content.astype(int), 0]))
-    clusters = [(size[a:b].sum(), a, b) for a, b in zip(bounds[::2], bounds[1::2], strict=True)]
-    _, a, b = max(clusters, key=lambda c: (c[0], -c[1]))
-    regions = {x.node.region for x in lines[a:b]} - {-1}
-    if regions:
-        lead = max(regions, key=lambda r: sum(len(x.text) for x in lines if x.node.region == r))
-        mains = {x.node.region for x in lines if lead in x.node.chain} | {lead}
-        kept = [x for x in lines if x.node.region in mains or lead in x.node.chain]
-    else:
-        total = sum(s for s, *_ in clusters)
-        chosen = [x for k, x in enumerate(lines) if content[k]]
-        inside: dict[int, int] = {}
-        for x in chosen:
-            for c in x.node.chain:
-                inside[c] = inside.get(c, 0) + len(x.text)
-        best = max((c for c, n in inside.items() if n >= 0.9 * total), default=0)  # containers are numbered outside in
-        # beside the region's prose, lines that are mostly links are menus that no name gave away
-        kept = [x for x in lines if best in x.node.chain and x.links < 0.7 * len(x.text)]
-    return "\n\n".join(x.text for x in kept)
+    ratio = ratios(lines)
+    inside, own = clusters(ratio)
+    first, last = _region(lines, parser.nodes, inside, own)
+    kept = np.array([first <= x.node.number <= last for x in lines])
+    if parser.nodes[first].tag in ("", "html", "body"):  # beside the clusters stands what surrounds them
+        at = np.flatnonzero(inside & kept & np.array([not x.node.furniture for x in lines]))
+        if len(at):
+            kept[: at[0]] = kept[at[-1] + 1 :] = False
+    # headings directly before the region
+    k = int(kept.argmax()) - 1
+    while k >= 0 and ratio[k] > 0 and lines[k].node.tag in _HEADINGS and not lines[k].node.furniture:
+        kept[k] = True
+        k -= 1
+    return "\n\n".join(x.text for x, k in zip(lines, kept.tolist(), strict=True) if k and not x.node.furniture)
 
 
 def extract(pages: DataFrame) -> DataFrame:
