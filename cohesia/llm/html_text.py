@@ -16,7 +16,8 @@ directly before it and are no links, so short paragraphs stay.
 Names only veto: lines of page furniture (navigation, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments; by element, role, class
 or id) are left out of what the ratios have selected. Of a region that is the
-whole body, lines before the first cluster and after the last one go as well.
+whole body, lines before the first cluster and after the last one stay only if they are
+paragraphs or headings and no links.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined by two line feeds in page order. A line break element counts as
@@ -66,6 +67,7 @@ _REGION = frozenset(("article", "main"))
 #: Of an article element outside all others, only these words make furniture.
 _READERS = frozenset("comment comments commentlist disqus replies respond".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PROSE = _HEADINGS | {"p", "blockquote", "pre"}
 #: Elements that may be the region.
 _CONTAINER = frozenset("article main section div body td center blockquote".split())
 _CELL_ENDS = frozenset(("td", "th", "tr", "tbody", "tfoot"))
@@ -245,6 +247,12 @@ def _region(lines: list[Line], nodes: list[Node], inside: np.ndarray, own: np.nd
     return best, int(end[best])
 
 
+def _is_prose(node: Node, nodes: list[Node]) -> bool:
+    while node.tag not in _BLOCK and node.up >= 0:
+        node = nodes[node.up]
+    return node.tag in _PROSE
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -257,10 +265,11 @@ def main_text(html: str | None) -> str:
     inside, own = clusters(ratio)
     first, last = _region(lines, parser.nodes, inside, own)
     kept = np.array([first <= x.node.number <= last for x in lines])
-    if parser.nodes[first].tag in ("", "html", "body"):  # beside the clusters stands what surrounds them
+    if parser.nodes[first].tag in ("", "html", "body"):  # beside the clusters may stand what surrounds them
         at = np.flatnonzero(inside & kept & np.array([not x.node.furniture for x in lines]))
         if len(at):
-            kept[: at[0]] = kept[at[-1] + 1 :] = False
+            for k in (*range(at[0]), *range(at[-1] + 1, len(lines))):
+                kept[k] &= ratio[k] > 0 and _is_prose(lines[k].node, parser.nodes)
     # headings directly before the region
     k = int(kept.argmax()) - 1
     while k >= 0 and ratio[k] > 0 and lines[k].node.tag in _HEADINGS and not lines[k].node.furniture:
