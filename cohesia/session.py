@@ -82,7 +82,7 @@ class Scratch:
         out._cohesia_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
+    def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_cohesia_path", None)
         if path:
             _delete(self.spark, path)
