@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from cohesia.session import ship
 
@@ -16,13 +16,25 @@ from cohesia.session import ship
 SLICE = 1024
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
+def _mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: StructType) -> DataFrame:
+    """``run`` over Arrow batches under any column names: Spark itself sees plain ones, whatever dots or spaces the names hold."""
+    ship(df.sparkSession)
+    names = df.columns
+    plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(kind)])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
+            yield pa.RecordBatch.from_arrays(out.columns, names=plain.names)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(named, plain).toDF(*kind.names)
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | StructType) -> DataFrame:
     """Apply ``make()``'s function to Arrow slices; it returns columns by name.
 
     ``make`` runs once per task on the executor, so that models are loaded there.
     """
-    ship(df.sparkSession)
-    kind = _parse_datatype_string(schema)
+    kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     assert isinstance(kind, StructType)
     arrow = to_arrow_schema(kind)
 
@@ -34,12 +46,11 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return _mapped(df, run, kind)
 
 
 def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
     """The rows for which ``make()``'s function says true, all columns unchanged."""
-    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -48,7 +59,7 @@ def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
                 part = batch.slice(at, SLICE)
                 yield part.filter(pa.array(step(part), type=pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return _mapped(df, run, df.schema)
 
 
 def gather(df: DataFrame, key: list[str], values: dict[str, str]) -> DataFrame:
