@@ -10,7 +10,8 @@ of them where no language has ten).
 
 Training takes at most ``PER_LANG`` distinct labelled texts of a language (those
 with the smallest text hash) from rows whose crc32(doc_id as text) mod 4 is not
-2. Prediction reads the whole text and nothing else.
+2. Every language that has a label there is learned, however many there are; the
+centroids of each are fitted where its sample is. Prediction reads the whole text and nothing else.
 
 Null texts, empty texts and texts without a letter: ``und``, score 0, rejected.
 Rows with null ``lang`` are predicted but not learned from. Without any labelled
@@ -20,17 +21,20 @@ language. Repeated rows get equal answers. Other columns are not read.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohesia.llm.batches import filter_batches, map_batches
+from cohesia.session import Scratch, ship
 
 PER_LANG = 600
-MAX_LANGS = 400
+#: Parts in which a language is thinned, and sampled rows (some 40 bytes each) that are sent to all tasks; more are joined by a shuffle.
+SALTS, BROADCAST_ROWS = 32, 400_000
 BUCKETS = 1 << 13
 CENTROIDS = 4
 #: A text is rejected if its cosine is below this quantile of labelled texts of its size that no centroid was learned from.
@@ -38,7 +42,7 @@ REJECT_QUANTILE, SIZES, CALIBRATE = 0.01, 12, 500
 #: Every so many-th sampled text of a language is left out of its centroids, to set the limit.
 ASIDE = 10
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.array([i if i >= 128 or chr(i).isalpha() else 32 for i in range(256)], dtype=np.uint32)
 
 
@@ -55,6 +59,12 @@ def counts(text: str) -> np.ndarray:
     return out
 
 
+def unit(raw: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Normalised TF-IDF vectors of n-gram counts."""
+    x = np.sqrt(raw) * idf
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
 @dataclass
 class Model:
     langs: list[str]  # of each centroid
@@ -63,8 +73,7 @@ class Model:
     limits: np.ndarray  # by the binary logarithm of a text's n-gram count
 
     def vectors(self, raw: np.ndarray) -> np.ndarray:
-        x = np.sqrt(raw) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        return unit(raw, self.idf)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         lang, score, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
@@ -87,10 +96,13 @@ def _size(total: np.ndarray) -> np.ndarray:
 def _calibrate(model: Model, raw: np.ndarray) -> np.ndarray:
     """Limits for each size: the n-grams of texts set aside are thinned to that many and compared."""
     rng = np.random.default_rng(7)
-    some = raw[rng.permutation(len(raw))[:CALIBRATE]].astype(np.float64)
-    some /= some.sum(axis=1, keepdims=True)
-    low = [np.quantile((model.vectors(rng.multinomial(2**b, some).astype(np.float32)) @ model.centroids.T).max(axis=1), REJECT_QUANTILE) for b in range(SIZES)]
-    return np.array(low)
+    share = raw.astype(np.float64)
+    share /= share.sum(axis=1, keepdims=True)
+    out = []
+    for b in range(SIZES):
+        thin = rng.multinomial(2**b, share).astype(np.float32)
+        out.append(np.quantile((model.vectors(thin) @ model.centroids.T).max(axis=1), REJECT_QUANTILE))
+    return np.array(out)
 
 
 def _cluster(x: np.ndarray, k: int) -> np.ndarray:
@@ -106,54 +118,97 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def fit(documents: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """Learn from a bounded sample of labelled rows that are not held out."""
+def _sample(documents: DataFrame, per_lang: int) -> DataFrame:
+    """(lang, h, doc_id): the distinct labelled texts with the smallest hashes of each language."""
     learn = documents.where("lang is not null and text is not null").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    # distinct texts; those with the smallest hashes, cut to about three times the sample before any language meets in one task
-    keys = learn.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    sizes = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MAX_LANGS).collect()}
-    if not sizes:
-        return Model([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(SIZES))
-    share = F.create_map(*(F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, 3 * per_lang / n))))
-    near = keys.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).withColumn("h", F.pmod("h", F.lit(1 << 30)))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_lang)
-    names = sorted(sizes)
-    ids = picked.select("doc_id", "lang").collect()  # per_lang rows a language
-    nothing = Model([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(SIZES))
-    if not ids:
-        return nothing
-    some = documents.sparkSession.createDataFrame(ids, "doc_id long, lang string")
+    once = learn.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    # a language with a third of all rows is first thinned in SALTS parts; what meets in one task is bounded
+    for by in (Window.partitionBy("lang", F.pmod("h", F.lit(SALTS))), Window.partitionBy("lang")):
+        once = once.withColumn("k", F.row_number().over(by.orderBy("h"))).where(F.col("k") <= per_lang).drop("k")
+    return once
+
+
+def _features(documents: DataFrame, picked: DataFrame) -> DataFrame:
+    """lang, h and the sparse n-gram counts (at, n) of the sampled texts that have a letter."""
+
+    def make():
+        def step(batch):
+            texts = zip(*(batch.column(c).to_pylist() for c in ("lang", "h", "text")), strict=True)
+            rows = [(la, h, counts(t)) for la, h, t in texts if _LETTER.search(t)]
+            at = [np.flatnonzero(r) for *_, r in rows]
+            return {
+                "lang": [r[0] for r in rows],
+                "h": [r[1] for r in rows],
+                "at": [i.astype(np.uint16).tobytes() for i in at],
+                "n": [r[2][i].tobytes() for r, i in zip(rows, at, strict=True)],
+            }
+
+        return step
+
+    small = picked.count() <= BROADCAST_ROWS
+    texts = documents.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("text").alias("h"), "text")
+    met = texts.join(F.broadcast(picked) if small else picked, ["lang", "h", "doc_id"]).select("lang", "h", "text")
+    return map_batches(met, make, "lang string, h long, at binary, n binary").dropDuplicates(["lang", "h"])
+
 
+def _document_frequencies(features: DataFrame) -> np.ndarray:
     def make():
         def step(batch):
-            rows = [(la, t) for la, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "text")), strict=True) if _LETTER.search(t)]
-            raw = [counts(t) for _, t in rows]
-            at = [np.flatnonzero(r) for r in raw]
-            return {"lang": [la for la, _ in rows], "at": [i.astype(np.uint16).tobytes() for i in at], "n": [r[i].tobytes() for r, i in zip(raw, at, strict=True)]}
+            places = np.frombuffer(b"".join(batch.column("at").to_pylist()), np.uint16)
+            n = np.bincount(places, minlength=BUCKETS)
+            return {"bucket": np.flatnonzero(n), "n": n[n > 0]}
 
         return step
 
-    found = map_batches(learn.join(F.broadcast(some), ["doc_id", "lang"]).select("lang", "text"), make, "lang string, at binary, n binary").collect()
-    if not found:
+    out = np.zeros(BUCKETS)
+    for r in map_batches(features.select("at"), make, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
+        out[r["bucket"]] = r["n"]
+    return out
+
+
+def _dense(at: list[bytes], n: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(at), BUCKETS), dtype=np.float32)
+    for row, i, v in zip(out, at, n, strict=True):
+        row[np.frombuffer(i, np.uint16)] = np.frombuffer(v, np.float32)
+    return out
+
+
+def _centroids(features: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(lang, j, centroid) for each language, fitted where its sample is: a task holds PER_LANG texts of one language."""
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by("h")
+        x = unit(_dense(table["at"].to_pylist(), table["n"].to_pylist()), idf)
+        kept = [k for k in range(len(x)) if (k + 1) % ASIDE]
+        found = [c.astype(np.float32).tobytes() for c in _cluster(x[kept], CENTROIDS)]
+        return pa.table({"lang": pa.array([table["lang"][0].as_py()] * len(found), pa.string()), "j": pa.array(range(len(found)), pa.int32()), "centroid": pa.array(found, pa.binary())})
+
+    ship(features.sparkSession)
+    return features.groupBy("lang").applyInArrow(learn, "lang string, j int, centroid binary")
+
+
+def fit(documents: DataFrame, per_lang: int = PER_LANG) -> Model:
+    """Learn from a bounded sample of labelled rows that are not held out.
+
+    The driver gets the centroids, the document frequencies and ``CALIBRATE`` texts set aside, never the sample.
+    """
+    nothing = Model([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(SIZES))
+    scratch = Scratch(documents.sparkSession)
+    features = scratch.keep(_features(documents, scratch.keep(_sample(documents, per_lang))))
+    total = features.count()
+    if not total:
         return nothing
-    raw = np.zeros((len(found), BUCKETS), dtype=np.float32)
-    rows = sorted((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in found)
-    for i, (_, at, n) in enumerate(rows):
-        raw[i, np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.float32)
-    idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Model([], idf, nothing.centroids, nothing.limits)
-    x = model.vectors(raw)
-    langs, parts, aside = [], [], []
-    for name in names:
-        own = [i for i, r in enumerate(rows) if r[0] == name]
-        if own:
-            aside += own[ASIDE - 1 :: ASIDE]
-            c = _cluster(x[[i for k, i in enumerate(own, 1) if k % ASIDE]], CENTROIDS)
-            langs += [name] * len(c)
-            parts.append(c)
-    model = Model(langs, idf, np.concatenate(parts).astype(np.float32), nothing.limits)
-    return Model(langs, idf, model.centroids, _calibrate(model, raw[aside] if aside else raw))
+    idf = (np.log((1 + total) / (1 + _document_frequencies(features))) + 1).astype(np.float32)
+    rows = _centroids(features, idf).toArrow().sort_by([("lang", "ascending"), ("j", "ascending")])
+    centroids = np.stack([np.frombuffer(c, np.float32) for c in rows["centroid"].to_pylist()])
+    # the texts that no centroid was learned from (all, where no language has ASIDE of them), in an order by hash
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h")) % ASIDE
+    numbered = features.withColumn("aside", place == 0).select("aside", "at", "n", F.xxhash64("lang", "h").alias("by"))
+    some = numbered.where("aside").orderBy("by").limit(CALIBRATE).toArrow()
+    if not some.num_rows:
+        some = numbered.orderBy("by").limit(CALIBRATE).toArrow()
+    model = Model(rows["lang"].to_pylist(), idf, centroids, nothing.limits)
+    return Model(model.langs, idf, centroids, _calibrate(model, _dense(some["at"].to_pylist(), some["n"].to_pylist())))
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
