@@ -1,20 +1,23 @@
 """Token counts by rank-synchronous array merging.
 
 Texts are cut into pre-tokens that no vocabulary piece can span (before a run
-of spaces and around line breaks). Distinct pre-tokens that are not yet known
+of spaces and around line breaks), and those between two characters that stand
+side by side in no piece. Distinct pre-tokens that are not yet known
 to the worker are held as one ragged numpy array of piece numbers; in each
-round every sequence merges its lowest-rank adjacent pair (leftmost on a tie),
-all sequences at once, until no pair is left. Surviving symbols are counted; a
+round every sequence, whatever its length, merges its lowest-rank adjacent pair, all sequences at once,
+until no pair is left. All places of that pair are merged in one round, from
+the left up to the first whose merge brings a pair of lower rank, which has to go
+first. Surviving symbols are counted; a
 character outside the vocabulary counts its UTF-8 bytes (byte fallback).
 
 Null or empty text: 0 bytes, 0 tokens. Null ``doc_id`` is passed through.
 Repeated rows give repeated rows. Columns other than ``doc_id`` and ``text``
-are not read.
+are not read. A text is held whole, with some 100 bytes for each character of the pre-tokens
+that are new in it; a run of letters without any break takes one round for each rank that occurs in it.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 
 import numpy as np
@@ -22,10 +25,8 @@ from pyspark.sql import DataFrame
 
 from cohesia.llm.batches import map_batches
 
-#: Sequences longer than this are merged one by one with a heap, in n log n steps.
-LONG = 512
-#: Known pre-tokens a worker holds before it starts anew.
-KNOWN = 400_000
+#: Known pre-tokens a worker holds before it starts anew, and characters of new ones that are merged in one go.
+KNOWN, TOGETHER = 400_000, 400_000
 SPACE = "▁"
 _NONE = np.iinfo(np.int64).max
 _COUNTERS: dict[str, PieceCounter] = {}
@@ -60,7 +61,8 @@ class PieceCounter:
         self.keys = np.array(keys, dtype=np.int64)[at]
         self.ranks = np.array(ranks, dtype=np.int64)[at]
         self.merged = np.array(merged, dtype=np.int64)[at]
-        self.table = {int(k): (int(r), int(m)) for k, r, m in zip(self.keys, self.ranks, self.merged, strict=True)}
+        beside = {(a, b) for p in pieces for a, b in zip(p, p[1:], strict=False)}
+        self.beside = np.array(sorted(ord(a) << 21 | ord(b) for a, b in beside), dtype=np.int64)
         self.known: dict[str, int] = {}
 
     def _lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,9 +87,13 @@ class PieceCounter:
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             best = np.minimum.reduceat(rank[live], first)
             wins = live[rank[live] == np.repeat(best, np.diff(np.r_[first, len(live)]))]
-            wins = wins[np.r_[True, seq[wins[1:]] != seq[wins[:-1]]]]  # leftmost of each sequence
+            # of places in a row, which share a symbol, every other one
+            run = np.r_[True, wins[1:] != wins[:-1] + 1]
+            begin = np.maximum.accumulate(np.where(run, np.arange(len(wins)), 0))
+            wins = wins[(np.arange(len(wins)) - begin) % 2 == 0]
+            wins = self._undisturbed(sym, seq, rank, into, wins)
             sym[wins] = into[wins]
-            counts[seq[wins]] -= 1
+            counts -= np.bincount(seq[wins], minlength=len(counts))
             stays = np.zeros(len(counts), dtype=bool)
             stays[owner] = True
             keep = stays[seq]
@@ -95,68 +101,59 @@ class PieceCounter:
             wins = (np.cumsum(keep) - 1)[wins]
             sym, seq, rank, into = sym[keep], seq[keep], rank[keep], into[keep]
             # only the pairs beside a merged symbol change
-            at = np.r_[wins, wins[wins > 0] - 1]
+            at = np.unique(np.r_[wins, wins[wins > 0] - 1])
             rank[at] = _NONE
             at = at[at + 1 < len(sym)]
             at = at[seq[at] == seq[at + 1]]
             rank[at], into[at] = self._lookup(sym[at], sym[at + 1])
 
-    def merge_long(self, sequence: list[int]) -> int:
-        """The same for one long sequence: a heap holds its pairs by rank, then place."""
-        sym, n = list(sequence), len(sequence)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and sym[i] >= 0 and sym[j] >= 0:
-                found = self.table.get(sym[i] * self.width + sym[j])
-                if found:
-                    heapq.heappush(heap, (found[0], i, sym[i], sym[j]))
-
-        for i in range(n - 1):
-            offer(i)
-        left, gone = n, [False] * n
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if gone[i] or j >= n or sym[i] != a or sym[j] != b:
-                continue
-            sym[i] = self.table[a * self.width + b][1]
-            gone[j] = True
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            left -= 1
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return left
+    def _undisturbed(self, sym: np.ndarray, seq: np.ndarray, rank: np.ndarray, into: np.ndarray, wins: np.ndarray) -> np.ndarray:
+        """The places of each sequence up to the first whose merge makes a pair of lower rank than its own."""
+        new, own, of = into[wins], rank[wins], seq[wins]
+        again = np.r_[False, (wins[1:] == wins[:-1] + 2) & (of[1:] == of[:-1])]  # the symbol to the left is merged in this round, too
+        left = np.maximum(wins - 1, 0)
+        before = np.where(again, np.r_[new[:1], new[:-1]], sym[left])
+        after = np.minimum(wins + 2, len(sym) - 1)
+        low = (wins > 0) & ((seq[left] == of) | again) & (self._lookup(before, new)[0] < own)
+        low |= (wins + 2 < len(sym)) & (seq[after] == of) & (self._lookup(new, sym[after])[0] < own)
+        if not low.any():
+            return wins
+        heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        sizes = np.diff(np.r_[heads, len(of)])
+        passed = np.cumsum(low) - low  # such places before each
+        return wins[passed == np.repeat(passed[heads], sizes)]
 
     def learn(self, words: set[str]) -> None:
-        """Count pre-tokens not yet known."""
+        """Count pre-tokens not yet known, those of like length together."""
         if len(self.known) > KNOWN:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
-        if not new:
-            return
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            counts = np.array([len(w) for w in part], dtype=np.int64)
-            codes = np.frombuffer("".join(part).encode("utf-32-le"), dtype="<u4")
-            sym = self.by_code[codes].astype(np.int64)
-            # a character outside the vocabulary never merges: its UTF-8 bytes are what survives
-            more = np.where(sym < 0, (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF), 0)
-            starts = np.r_[0, np.cumsum(counts)[:-1]]
-            extra = np.add.reduceat(more, starts)
-            long = counts > LONG
-            short = np.repeat(~long, counts)
-            total = np.ones(len(part), dtype=np.int64)
-            if (~long).any():
-                total[~long] = self.merge(sym[short], counts[~long])
-            for i in np.flatnonzero(long):
-                total[i] = self.merge_long(sym[starts[i] : starts[i] + counts[i]].tolist())
-            self.known.update(zip(part, (total + extra).tolist(), strict=True))
+        part: list[str] = []
+        size = 0
+        for w in sorted((w for w in words if w not in self.known), key=len):
+            part.append(w)
+            size += len(w)
+            if size >= TOGETHER:
+                self._learn(part)
+                part, size = [], 0
+        if part:
+            self._learn(part)
+
+    def _learn(self, part: list[str]) -> None:
+        counts = np.array([len(w) for w in part], dtype=np.int64)
+        codes = np.frombuffer("".join(part).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        sym = self.by_code[codes].astype(np.int64)
+        # a character outside the vocabulary never merges: its UTF-8 bytes are what survives
+        more = np.where(sym < 0, (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF), 0)
+        starts = np.r_[0, np.cumsum(counts)[:-1]]
+        # sequences end with their pre-token, and where two characters stand side by side in no piece
+        pair = codes[:-1] << 21 | codes[1:]
+        met = self.beside[np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)] == pair
+        head = np.r_[True, ~met]
+        head[starts] = True
+        heads = np.flatnonzero(head)
+        total = self.merge(sym, np.diff(np.r_[heads, len(sym)]))
+        total = np.add.reduceat(total, np.searchsorted(heads, starts)) + np.add.reduceat(more, starts)
+        self.known.update(zip(part, total.tolist(), strict=True))
 
     def pretokens(self, text: str) -> tuple[int, list[str]]:
         """Line breaks (always one byte token each) and the pre-tokens of a text that is not empty."""

@@ -129,8 +129,13 @@ def test_token_counts(spark, odd):
     got = token_counts.token_counts(odd, PIECE_BPE).collect()
     assert sorted((x["n_bytes"], x["n_tokens"], x["over_limit"]) for x in got) == sorted((len((t or "").encode()), n := len(model.encode(t or "")), n > 4096) for t in [x["text"] for x in odd.collect()])
     counter = token_counts.counter(PIECE_BPE)
-    for t in ("a" * 4000, "=" * 900 + "ab" * 700, " " * 1500, "é" * 1300):  # longer than one array sequence may be
+    r = random.Random(7)
+    long = ["a" * 4000, "=" * 900 + "ab" * 700, " " * 1500, "é" * 1300, "日本語文章" * 900, "".join(r.choice("ACGT") for _ in range(5000)), "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/") for _ in range(20_000))]
+    for t in long:
         assert counter.count([t]) == [len(model.encode(t))]
+    for letters in ("ab", "the", "inga", "eration ", "=-*", "0123456789"):
+        some = ["".join(r.choice(letters) for _ in range(r.randint(1, 400))) for _ in range(300)]
+        assert counter.count(some) == [len(x) for x in model.encode(some)]
 
 
 def test_covering_masks_lose_nothing():
