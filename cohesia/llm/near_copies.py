@@ -1,38 +1,47 @@
-"""Near copies by an exact set-similarity join: Jaccard of 5-word shingles at least 0.8.
-
-Texts with equal shingle sets are one node. Every set is sorted in one order
-(shingles common in a sample last, then by hash; any shared order is exact, a
-good one is fast). Two sets that reach the threshold share a shingle among the
-first ``n - ceil(0.8 n) + 1`` of each, so only those are dealt out. The members
-of a shared shingle are first compared with one of them; what that leaves in
-different components is then compared pair by pair, so a large group of near
-copies is not. Candidates are verified with their whole sets.
-
-Groups are connected components. One row of each stays: that with the smallest
-doc_id (nulls last), then the smallest hash of its text; rows equal in both
-doc_id and text count as one. Null ids join nothing by themselves. Null or empty
-texts, or texts of white space only, are one group. A text of under five words is one shingle.
+"""Near copies for filtering: Jaccard of 5-word shingles at least 0.8, from covering SimHash and an exact completion.
+
+SimHash alone cannot give this: two texts that reach the threshold differ in some 10 of 64 bits, and covering tables
+for that radius would be 2^11 and more. So links come from two sides, and each is verified with whole shingle sets:
+
+1. *Covering locality-sensitive hashing* (``simhash.near_links``) over SimHash fingerprints of the 5-word shingles links
+   texts that differ in at most 3 bits, and texts of one fingerprint.
+2. *A prefix join* finds what is left. Every set is sorted by one order (rare shingles first, by counts of all shingles of the
+   corpus in ``1 << BITS`` counters; any shared order is exact). Of two sets that reach the threshold, the smaller one (or equal)
+   has a shared shingle among its first n - ceil(8n/9) + 1, the larger one among its first n - ceil(4n/5) + 1; only those are dealt out.
+   Sets that meet are proposed in rounds, one candidate for each text, then one for each two components that meet
+   (that with most shared shingles), until a round joins nothing. So a large group of near copies
+   is joined by about as many pairs as it has members. What still meets in different components is compared by
+   pairs, under the filters of size and position.
+
+Texts with equal sets are one node. Groups are connected components. One row of each stays: that with the smallest
+doc_id (nulls last), then the smallest hash of its text; rows equal in both doc_id and text count as one. Null ids
+join nothing by themselves. Null or empty texts, or texts of white space only, are one group. A text of under five words is
+one shingle. Columns other than ``doc_id`` and ``text`` pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohesia.llm.batches import map_batches
 from cohesia.llm.components import connected_components
-from cohesia.llm.simhash import with_row_key, words
-from cohesia.session import Scratch
+from cohesia.llm.simhash import near_links, with_row_key, words
+from cohesia.session import Scratch, ship
 
 SHINGLE = 5
 SEED = 42
 #: The threshold as a fraction of integers, so that no rounding decides.
 NUM, DEN = 4, 5
-#: Texts of the sample that tells common shingles, and how many of them must have one. Only the order depends on these.
-SAMPLE, COMMON = 10_000, 4
+#: Counters of shingles (by the first bits of their hashes), and how many of them make one row of counts.
+BITS, CHUNK = 18, 4096
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
+_SLOT = np.uint64(64 - BITS)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -42,7 +51,7 @@ def shingles(text: str | None) -> np.ndarray:
     if len(found) < SHINGLE:
         return np.array([digest(" ".join(found).encode(), SEED)] if found else [], dtype=np.uint64)
     known = {w: digest(w.encode(), SEED) for w in set(found)}
-    h = np.array([known[w] for w in found], dtype=np.uint64)
+    h = np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
     n = len(h) - SHINGLE + 1
     out = np.zeros(n, dtype=np.uint64)
     for k, m in enumerate(_MIX):
@@ -51,125 +60,215 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
-def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles of a set of which one at least is shared with any set that reaches the threshold."""
-    n = len(found)
-    if not n:
-        return found
-    late = np.isin(found, common, assume_unique=True) if len(common) else np.zeros(n, dtype=bool)
-    return np.r_[found[~late], found[late]][: n - -(-n * NUM // DEN) + 1]
-
-
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def _common(keyed: DataFrame) -> np.ndarray:
-    """Shingles that several texts of a sample of distinct texts have."""
-    part = max(1, keyed.count() // SAMPLE)
-    some = keyed.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).select("text")
+def front(found: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones first: one of them at least is shared with any set that reaches the threshold."""
+    n = len(found)
+    many = n - -(-n * NUM // DEN) + 1 if n else 0
+    return found[np.argsort(order[found >> _SLOT] << np.uint64(52) | found >> np.uint64(12), kind="stable")[:many]]
+
+
+def sketch(found: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of shingle hashes."""
+    if not len(found):
+        return 0
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(found), 65_536):
+        ones += np.unpackbits(found[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
+
+
+def shingle_order(texts: DataFrame) -> np.ndarray:
+    """For each counter the logarithm of its shingles in the whole corpus, as a small integer.
+
+    A task hands on its counters once, in chunks; chunks are added up where they meet, one batch at a time.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BITS, dtype=np.int64)
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                held.append(shingles(t))
+                size += len(held[-1])
+                if size >= 1 << BITS:
+                    total += np.bincount((np.concatenate(held) >> _SLOT).astype(np.int64), minlength=1 << BITS)
+                    held, size = [], 0
+        if held:
+            total += np.bincount((np.concatenate(held) >> _SLOT).astype(np.int64), minlength=1 << BITS)
+        chunks = total.reshape(-1, CHUNK)
+        some = np.flatnonzero(chunks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([chunks[k].tobytes() for k in some], pa.binary())], names=["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(raw, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["chunk", "counts"])
+
+    ship(texts.sparkSession)
+    schema = "chunk long, counts binary"
+    parts = texts.select("text").mapInArrow(count, schema)
+    whole = np.zeros((1 << BITS) // CHUNK * CHUNK, dtype=np.int64).reshape(-1, CHUNK)
+    for r in parts.repartition("chunk").mapInArrow(add, schema).collect():  # one row for each chunk, 2 MB in all
+        whole[r["chunk"]] += np.frombuffer(bytes(r["counts"]), np.int64)
+    return np.floor(64 * np.log2(whole.ravel() + 1.0)).astype(np.uint64)
+
+
+def _rows(keyed: DataFrame, order: np.ndarray) -> DataFrame:
+    """Each row's key, the hash of its shingle set (rid), the set's size and fingerprint, and its front."""
+    shared = keyed.sparkSession.sparkContext.broadcast(order)  # 2 MB
 
     def make():
+        known = shared.value
+
         def step(batch):
-            found = [shingles(t) for t in dict.fromkeys(batch.column("text").to_pylist())]
-            keys = [xxhash.xxh64_intdigest(s.tobytes()) for s in found]
-            return {
-                "rid": np.repeat(np.array(keys, dtype=np.uint64), [len(s) for s in found]).view(np.int64),
-                "s": np.concatenate([*found, np.zeros(0, dtype=np.uint64)]).view(np.int64),
-            }
+            found = [shingles(t) for t in batch.column("text").to_pylist()]
+            out = {c: batch.column(c) for c in ("doc_id", "r1", "r2")}
+            out["rid"] = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], dtype=np.uint64).view(np.int64)
+            out["n"] = [len(s) for s in found]
+            out["fp"] = [sketch(s) for s in found]
+            out["front"] = [front(s, known).view(np.int64) for s in found]
+            return out
 
         return step
 
-    seen = map_batches(some, make, "rid long, s long").groupBy("s").agg(F.countDistinct("rid").alias("n"))
-    rows = seen.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(200_000).select("s").toPandas()
-    return rows["s"].to_numpy(dtype=np.int64).view(np.uint64)
+    return map_batches(keyed, make, "doc_id long, r1 long, r2 long, rid long, n long, fp long, front array<long>")
 
 
-def _promising(shared: DataFrame, groups: DataFrame, part: int) -> DataFrame:
-    """The pairs (a < b) whose sets can still reach the threshold; ``shared`` has a row for each shared first shingle.
+def _is_short(n: Column, at: Column) -> Column:
+    """Whether a place is in the front that the smaller of two sets is found by."""
+    return (NUM + DEN) * (n - at) >= 2 * NUM * n
 
-    All that two sets share up to the end of the front that ends first is counted, and that set has ``ceil(0.8 n) - 1`` more.
-    """
-    pairs = shared.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    side = lambda x: groups.select(F.col("rid").alias(x), F.col("n").cast("long").alias(f"n{x}"), F.struct("late", "last").alias(f"end{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    n = F.when(F.col("enda") <= F.col("endb"), F.col("na")).otherwise(F.col("nb"))
-    after = F.floor((n * NUM + DEN - 1) / DEN) - 1
-    need = F.floor(((F.col("na") + F.col("nb")) * NUM + NUM + DEN - 1) / (NUM + DEN))
-    fits = (DEN * F.col("na") >= NUM * F.col("nb")) & (DEN * F.col("nb") >= NUM * F.col("na"))
-    return both.where(fits & (part * F.col("c") >= need - after)).select("a", "b")
 
+def _may_reach(a: str, b: str) -> Column:
+    """Whether two sets (the first no larger) that first meet at these places can reach the threshold."""
+    na, nb, pa_, pb = F.col(f"n{a}"), F.col(f"n{b}"), F.col(f"p{a}"), F.col(f"p{b}")
+    sizes = (na < nb) | ((na == nb) & (F.col(a) < F.col(b)))
+    return sizes & (DEN * na >= NUM * nb) & _is_short(na, pa_) & ((NUM + DEN) * F.least(na - pa_, nb - pb) >= NUM * (na + nb))
 
-def _verified(pairs: DataFrame, groups: DataFrame, keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of sets that reach the threshold."""
-    ids = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    wanted = groups.join(ids, "rid").select("rid", "first.r1", "first.r2")
 
-    def of_text():
-        return lambda batch: {"rid": batch.column("rid"), "s": [shingles(t).tobytes() for t in batch.column("text").to_pylist()]}
+class _Verifier:
+    """Compares whole sets. The sets of all texts that meet others are written once; pairs are joined to them."""
 
-    texts = keyed.select("r1", "r2", "text").join(wanted, ["r1", "r2"]).select("rid", "text")
-    sets = scratch.keep(map_batches(texts, of_text, "rid long, s binary").groupBy("rid").agg(F.min("s").alias("s")))
+    def __init__(self, keyed: DataFrame, groups: DataFrame, ids: DataFrame, scratch: Scratch) -> None:
+        def of_text():
+            return lambda batch: {"rid": batch.column("rid"), "s": [shingles(t).tobytes() for t in batch.column("text").to_pylist()]}
 
-    def compare():
-        def step(batch):
-            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "sa", "sb")), strict=True)
-            good = [(a, b) for a, b, x, y in rows if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))]
-            return {"a": [a for a, _ in good], "b": [b for _, b in good]}
+        wanted = groups.join(ids.hint("shuffle_hash"), "rid", "left_semi").select("rid", "first.r1", "first.r2")
+        texts = keyed.select("r1", "r2", "text").join(wanted.hint("shuffle_hash"), ["r1", "r2"]).select("rid", "r1", "r2", "text")
+        self.sets = scratch.keep(map_batches(texts.select("rid", "text"), of_text, "rid long, s binary"))
+        self.scratch = scratch
 
-        return step
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of sets that reach the threshold."""
 
-    side = lambda c: sets.select(F.col("rid").alias(c), F.col("s").alias(f"s{c}"))
-    return scratch.keep(map_batches(pairs.join(side("a"), "a").join(side("b"), "b"), compare, "a long, b long"))
+        def compare():
+            def step(batch):
+                rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "sa", "sb")), strict=True)
+                good = [(a, b) for a, b, x, y in rows if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))]
+                return {"a": [a for a, _ in good], "b": [b for _, b in good]}
 
+            return step
 
-def near_copies(documents: DataFrame, scratch: Scratch) -> DataFrame:
-    """r1, r2 (row key) of the one row of each group that stays."""
-    keyed = with_row_key(documents.select("doc_id", "text"))
-    shared = documents.sparkSession.sparkContext.broadcast(np.sort(_common(keyed)))
+        # a set may stand there more than once, where rows are repeated; pairs are made distinct afterwards
+        side = lambda c: self.sets.select(F.col("rid").alias(c), F.col("s").alias(f"s{c}"))
+        met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+        return self.scratch.keep(map_batches(met, compare, "a long, b long"))
 
-    def make():
-        common = shared.value
 
-        def step(batch):
-            found = [shingles(t) for t in batch.column("text").to_pylist()]
-            out = {c: batch.column(c) for c in ("doc_id", "r1", "r2")}
-            out["rid"] = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], dtype=np.uint64).view(np.int64)
-            out["n"] = [len(s) for s in found]
-            fronts = [prefix(s, common) for s in found]
-            out["front"] = [f.view(np.int64) for f in fronts]
-            out["late"] = [bool(len(f)) and bool(np.isin(f[-1], common)) for f in fronts]
-            out["last"] = [int(f[-1]) - (1 << 63) if len(f) else None for f in fronts]  # signed, in the same order
-            return out
+def _fingerprint_pairs(groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): texts of one SimHash fingerprint with the first of them, and firsts of fingerprints that covering tables link."""
+    firsts = scratch.keep(groups.where("n > 0").groupBy("fp").agg(F.min("rid").alias("head")))
+    links = scratch.keep(near_links(firsts.select("fp")))
+    same = groups.where("n > 0").join(firsts, "fp").where("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b"))
+    ends = links.join(firsts.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    return same.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
-        return step
 
-    rows = scratch.keep(map_batches(keyed, make, "doc_id long, r1 long, r2 long, rid long, n int, front array<long>, late boolean, last long"))
+def _proposals(met: DataFrame, by: list[str]) -> DataFrame:
+    """Of the pairs (a, b) of ``met`` the one that meets most often, for each value of ``by``."""
+    often = met.groupBy(*by, *(x for x in ("a", "b") if x not in by)).agg(F.count(F.lit(1)).alias("times"))
+    return often.groupBy(*by).agg(F.max(F.struct("times", "a", "b")).alias("m")).select("m.a", "m.b")
+
+
+def near_copies(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """Row keys (r1, r2) of the one row of each group that stays, and whether any row is repeated."""
+    keyed = with_row_key(documents.select("doc_id", "text"))
+    rows = scratch.keep(_rows(keyed, shingle_order(documents)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("first")
-    whole = scratch.keep(rows.groupBy("rid").agg(first, F.min("n").alias("n"), F.min("front").alias("front"), F.min("late").alias("late"), F.min("last").alias("last")))
-    scratch.drop(rows)
-    groups = whole.select("rid", "first", "n", "late", "last")
-    dealt = whole.select("rid", F.explode("front").alias("s")).repartition("s")
-    met = dealt.groupBy("s").agg(F.min("rid").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    buckets = scratch.keep(dealt.join(met, "s"))
-    # a pair shares more than the shingles it shares with the pivot counted here: half of what is needed is asked for
-    pairs = scratch.keep(_promising(buckets.where("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")), groups, 2))
-    links = _verified(pairs, groups, keyed, scratch)
-    members = scratch.keep(connected_components(links, Scratch(documents.sparkSession)))
-    labelled = buckets.join(members.select(F.col("node").alias("rid"), "component"), "rid", "left").select("s", "rid", F.coalesce("component", "rid").alias("c"))
-    open_ = labelled.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s")
-    left = scratch.keep(labelled.join(open_, "s"))
-    one, two = (left.select("s", F.col("rid").alias(x), F.col("c").alias(f"c{x}")) for x in ("a", "b"))
-    met = _promising(one.join(two, "s").where("a < b and ca <> cb").select("a", "b"), groups, 1)
-    more = _verified(scratch.keep(met.join(pairs, ["a", "b"], "left_anti")), groups, keyed, scratch)
-    final = scratch.keep(connected_components(links.union(more), Scratch(documents.sparkSession)))
-    in_group = groups.join(final.select(F.col("node").alias("rid"), "component"), "rid", "left").select(F.coalesce("component", "rid").alias("c"), "first")
-    return scratch.keep(in_group.groupBy("c").agg(F.min("first").alias("first")).select("first.r1", "first.r2"))
+    groups = scratch.keep(rows.groupBy("rid").agg(first, F.min("n").alias("n"), F.min("fp").alias("fp")))
+    # the front of each set once
+    own = groups.select("rid", "first.r1", "first.r2")
+    whole = rows.select("rid", "r1", "r2", "n", "front").join(own.hint("shuffle_hash"), ["rid", "r1", "r2"], "left_semi")
+    repeated = _repeated(rows)
+    if repeated:
+        whole = whole.dropDuplicates(["rid"])
+    dealt = whole.select("rid", "n", F.posexplode("front").alias("p", "s")).repartition("s")
+    # a shingle counts if several sets have it, one of them among the shingles that the smaller set is found by
+    counts = dealt.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min(F.when(_is_short(F.col("n"), F.col("p")), F.struct("rid", "n"))).alias("pivot"))
+    buckets = scratch.keep(dealt.join(counts.where("m > 1 and pivot is not null").select("s", "pivot"), "s"))
+
+    fits = (DEN * F.col("n") >= NUM * F.col("pivot.n")) & (DEN * F.col("pivot.n") >= NUM * F.col("n"))
+    to_pivot = buckets.where(fits & (F.col("rid") != F.col("pivot.rid"))).select(F.col("rid").alias("a"), F.col("pivot.rid").alias("b"))
+    by_hash = scratch.keep(_fingerprint_pairs(groups, scratch))
+    by_front = scratch.keep(_proposals(to_pivot, ["a"]))
+    ends = by_hash.select(F.col("a").alias("rid")).unionByName(by_hash.select(F.col("b").alias("rid"))).unionByName(buckets.select("rid")).distinct()
+    verified = _Verifier(keyed, groups, ends, scratch)
+    links = verified(by_hash.unionByName(by_front).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    component = _components(links, scratch)
+
+    while True:  # each round joins components, so their number falls until none is joined
+        open_ = scratch.keep(_open(buckets, component))
+        least = open_.groupBy("s").agg(F.min(F.struct("c", "rid", "n")).alias("pivot"))
+        met = open_.join(least, "s").where(F.col("c") != F.col("pivot.c")).where(fits)
+        pairs = _proposals(met.select("c", F.col("pivot.c").alias("d"), F.col("rid").alias("a"), F.col("pivot.rid").alias("b")), ["c", "d"])
+        more = verified(pairs)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        component = _components(links, scratch)
+
+    one, two = (open_.select("s", F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"), F.col("c").alias(f"c{x}")) for x in ("a", "b"))
+    rest = one.join(two, (one.s == two.s) & (F.col("ca") != F.col("cb")) & _may_reach("a", "b")).select("a", "b").distinct()
+    more = verified(scratch.keep(rest))
+    if not more.isEmpty():
+        component = _components(links.unionByName(more), scratch)
+    in_group = groups.join(component, groups.rid == component.node, "left").select(F.coalesce("component", "rid").alias("c"), "first")
+    return scratch.keep(in_group.groupBy("c").agg(F.min("first").alias("first")).select("first.r1", "first.r2")), repeated
+
+
+def _components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    return scratch.keep(connected_components(links, Scratch(scratch.spark)))
+
+
+def _open(buckets: DataFrame, component: DataFrame) -> DataFrame:
+    """The rows of shingles that several components share, with their component c."""
+    labelled = buckets.drop("pivot").join(component, F.col("rid") == F.col("node"), "left").select("s", "rid", "n", "p", F.coalesce("component", "rid").alias("c"))
+    several = labelled.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s")
+    return labelled.join(several, "s")
+
+
+def _repeated(rows: DataFrame) -> bool:
+    """Whether any doc_id has one text in several rows."""
+    return not rows.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").limit(1).isEmpty()
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One row of each group of near copies, columns unchanged."""
     scratch = Scratch(documents.sparkSession, tidy=True)
-    stay = near_copies(documents, scratch)
-    return with_row_key(documents).join(stay, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]).drop("r1", "r2")
+    stay, repeated = near_copies(documents, scratch)
+    names = documents.columns
+    plain = documents.toDF(*(f"c{i}" for i in range(len(names))))
+    at = {n: f"c{i}" for i, n in enumerate(names)}
+    keyed = with_row_key(plain, at["doc_id"], at["text"])
+    out = keyed.join(stay.hint("shuffle_hash"), ["r1", "r2"], "left_semi")
+    if repeated:
+        out = out.dropDuplicates(["r1", "r2"])
+    return out.drop("r1", "r2").toDF(*names)

@@ -3,9 +3,11 @@
 A document is tokenised, closed by one separator id and, only if longer than
 the capacity, cut into pieces of exactly the capacity (the last may be
 shorter). Pieces are then packed by *exact-complement hashing*: the lengths
-present are indexed by their single, pair and triple sums; combinations that
-fill a gap exactly are consumed as long as all their lengths are available,
-and what remains is packed best-fit, longest first.
+present are indexed by their single, pair and triple sums. A sequence begins with the
+longest piece left; a combination that fills its gap exactly is consumed as often as all
+its lengths are available, and where there is none the longest piece that fits goes in and the smaller gap
+is looked up again. Best fit, longest first, packs the same pieces, and what it leaves unfilled goes through the index once more;
+the plan with the fewest sequences is taken, so none needs more than best fit.
 
 The plan is made over the histogram of lengths, which has at most ``capacity``
 entries whatever the input: every consumed combination is a *pattern* with a
@@ -16,7 +18,8 @@ pieces are written to the shared folder once, so that ranks never change when
 an executor is lost.
 
 Null or empty text: one piece of one separator id. Empty table: no rows.
-Repeated rows are packed each. Columns other than ``doc_id`` and ``text`` are
+Repeated rows are packed each. Null ``doc_id`` is passed through. A text is held whole, with
+its ids (4 bytes each) and about 40 bytes for each token while the library works on it. Columns other than ``doc_id`` and ``text`` are
 not read.
 """
 
@@ -24,8 +27,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
-from heapq import heappop, heappush
+from bisect import bisect_left, insort
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark import TaskContext
@@ -37,8 +40,6 @@ from cohesia.session import Scratch
 
 CAPACITY = 2048
 KNOWN = 500_000
-#: Ranges of the placement table sent to all tasks; beyond it the table is joined by a shuffle.
-BROADCAST_RANGES = 200_000
 
 # Letters and numbers of the first 0x180 code points as the vocabulary's pre-tokeniser sees them.
 _LATIN = [chr(i) for i in range(0x180)]
@@ -125,108 +126,174 @@ def cut_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     return map_batches(documents.select("doc_id", "text"), make, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long")
 
 
-def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths in one sequence, repetitions) that use every length exactly as often as it occurs."""
-    left = {n: c for n, c in histogram.items() if c > 0}
-    patterns: list[tuple[tuple[int, ...], int]] = []
-
-    def consume(combo: tuple[int, ...]) -> int:
-        need: dict[int, int] = defaultdict(int)
-        for n in combo:
-            need[n] += 1
-        times = min(left.get(n, 0) // k for n, k in need.items())
-        if times:
-            patterns.append((combo, times))
-            for n, k in need.items():
-                left[n] -= k * times
-                if not left[n]:
-                    del left[n]
+Pattern = tuple[tuple[int, ...], int]  # lengths in one sequence, repetitions
+
+
+class SumIndex:
+    """Available lengths and their sums: which lengths there are, and for each sum how many pairs of available lengths make it.
+
+    A triple sum is a length and an indexed pair sum. The index changes when the last piece of a length is used.
+    """
+
+    def __init__(self, histogram: dict[int, int], capacity: int) -> None:
+        self.left = np.zeros(capacity + 1, dtype=np.int64)
+        for n, count in histogram.items():
+            self.left[n] = count
+        self.single = self.left > 0
+        self.pairs = np.zeros(capacity + 1, dtype=np.int64)  # ordered pairs (a, b) with a + b equal to the sum
+        for n in np.flatnonzero(self.single):
+            self.pairs[n:] += self.single[: capacity + 1 - n]
+
+    def use(self, combo: tuple[int, ...]) -> int:
+        """Take the combination as often as it is available."""
+        need = Counter(combo)
+        times = min(int(self.left[n]) // k for n, k in need.items())
+        for n, k in need.items():
+            self.left[n] -= k * times
+            if times and not self.left[n]:
+                self.single[n] = False
+                self.pairs[n:] -= 2 * self.single[: len(self.pairs) - n]
+                if 2 * n < len(self.pairs):
+                    self.pairs[2 * n] -= 1
         return times
 
-    if capacity in left:
-        consume((capacity,))
-    # singles, then pairs, then triples that complete a length exactly, longest length first
-    for size in (1, 2, 3):
-        for n in sorted(left, reverse=True):
-            gap = capacity - n
-            if size == 1:
-                consume((n, gap) if gap != n else (n, n))
-                continue
-            for a in sorted((x for x in left if x < gap), reverse=True):
-                if n not in left:
+    def _enough(self, combo: tuple[int, ...], taken: Counter) -> bool:
+        return all(self.left[n] >= k + taken[n] for n, k in Counter(combo).items())
+
+    def filling(self, gap: int, taken: Counter) -> tuple[int, ...] | None:
+        """One, two or three available lengths that fill the gap exactly beside those taken, long ones first."""
+        if self.single[gap] and self._enough((gap,), taken):
+            return (gap,)
+        if self.pairs[gap] and (two := self._pair(gap, gap, taken)):
+            return two
+        for n in np.flatnonzero(self.single[:gap] & (self.pairs[gap:0:-1] > 0))[::-1].tolist():
+            if 3 * n < gap:  # n is the longest of the three
+                return None
+            taken[n] += 1
+            two = self._pair(gap - n, n, taken) if self._enough((), taken) and self.left[n] >= taken[n] else None
+            taken[n] -= 1
+            if two:
+                return (n, *two)
+        return None
+
+    def _pair(self, gap: int, most: int, taken: Counter) -> tuple[int, int] | None:
+        half, top = (gap + 1) // 2, min(gap - 1, most)
+        if top < half:
+            return None
+        both = self.single[half : top + 1] & self.single[gap - top : gap - half + 1][::-1]
+        for a in (np.flatnonzero(both)[::-1] + half).tolist():
+            if self._enough((a, gap - a), taken):
+                return a, gap - a
+        return None
+
+    def longest(self, gap: int, taken: Counter) -> int:
+        """The longest available length that fits, 0 if there is none."""
+        for n in np.flatnonzero(self.single[: gap + 1])[::-1].tolist():
+            if self.left[n] > taken[n]:
+                return n
+        return 0
+
+
+def exact_fills(histogram: dict[int, int], capacity: int) -> list[Pattern]:
+    """Sequences begun with the longest piece left and filled exactly where the index has a filling, else by the longest that fits."""
+    index = SumIndex(histogram, capacity)
+    out: list[Pattern] = []
+    for first in range(capacity, 0, -1):
+        while index.left[first]:
+            combo, gap, taken = (first,), capacity - first, Counter((first,))
+            while gap:
+                more = index.filling(gap, taken) or ((n,) if (n := index.longest(gap, taken)) else ())
+                if not more:
                     break
-                if a not in left:
-                    continue
-                rest = gap - a
-                if size == 2:
-                    if rest <= a:
-                        consume((n, a, rest))
-                    continue
-                # the pair sums that equal the rest, each pair once
-                for b in range(min(a, rest - 1), (rest + 1) // 2 - 1, -1):
-                    if b in left and rest - b in left:
-                        consume((n, a, b, rest - b))
-                        if n not in left or a not in left:
-                            break
-    # best fit of the rest: each length goes to the smallest gap that holds it
-    gaps: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
-    order: list[int] = []
-
-    def put(bins: tuple[tuple[int, ...], int], gap: int) -> None:
-        if not gaps[gap] and gap:
-            heappush(order, gap)
+                combo += more
+                taken.update(more)
+                gap -= sum(more)
+            out.append((combo, index.use(combo)))
+    return out
+
+
+def best_fit(histogram: dict[int, int], capacity: int) -> list[Pattern]:
+    """Each length, longest first, goes to the smallest gap that holds it."""
+    gaps: dict[int, list[Pattern]] = defaultdict(list)
+    order: list[int] = []  # gaps that have sequences, ascending
+
+    def put(bins: Pattern, gap: int) -> None:
+        if not gaps[gap]:
+            insort(order, gap)
         gaps[gap].append(bins)
 
-    for n in sorted(left, reverse=True):
-        count = left[n]
+    for n in sorted(histogram, reverse=True):
+        count = histogram[n]
         while count:
-            skipped, found = [], None
-            while order:
-                gap = heappop(order)
-                if not gaps[gap]:
-                    continue
-                if gap >= n:
-                    found = gap
-                    break
-                skipped.append(gap)
-            for gap in skipped:
-                heappush(order, gap)
-            if found is None:
+            at = bisect_left(order, n)
+            if at == len(order):
                 combo, times, gap = (), count, capacity
             else:
-                combo, times = gaps[found].pop()
-                if gaps[found]:
-                    heappush(order, found)
-                gap = found
+                gap = order[at]
+                combo, times = gaps[gap].pop()
+                if not gaps[gap]:
+                    order.pop(at)
             fit = min(gap // n, count)
             full = min(times, count // fit)
             if times > full and combo:
                 put((combo, times - full), gap)
-            if not combo and count - full * fit:
-                full = min(full, count // fit)
             put((combo + (n,) * fit, full), gap - n * fit)
             count -= full * fit
-    patterns += [b for bins in gaps.values() for b in bins if b[1]]
-    return patterns
-
-
-def _ranges(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, copies per sequence, offset): where ranks of a length go."""
-    ranks: dict[int, int] = defaultdict(int)
-    rows, base = [], 0
-    for combo, times in patterns:
-        offset, at = 0, 0
-        while at < len(combo):
-            n = combo[at]
-            run = 1
-            while at + run < len(combo) and combo[at + run] == n:
-                run += 1
-            rows.append((n, ranks[n], ranks[n] + run * times, base, run, offset))
-            ranks[n] += run * times
-            offset += n * run
-            at += run
-        base += times
-    return rows
+    return [b for bins in gaps.values() for b in bins if b[1]]
+
+
+def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
+    """Patterns that use every length exactly as often as it occurs.
+
+    Of three plans that with the fewest sequences: exact fills of everything, best fit, and best fit whose sequences with a gap
+    are taken apart and filled anew by the index.
+    """
+    left = {n: c for n, c in histogram.items() if c > 0}
+    fit = best_fit(left, capacity)
+    full = [p for p in fit if sum(p[0]) == capacity]
+    again: Counter[int] = Counter()
+    for combo, times in fit:
+        if sum(combo) != capacity:
+            for n in combo:
+                again[n] += times
+    plans = (exact_fills(left, capacity), full + exact_fills(again, capacity), fit)
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+class Places:
+    """Where the pieces of each length go, by their rank: ranges of ranks in order of length and rank."""
+
+    def __init__(self, patterns: list[Pattern], capacity: int) -> None:
+        ranks: dict[int, int] = defaultdict(int)
+        rows, base = [], 0
+        for combo, times in patterns:
+            offset, at = 0, 0
+            while at < len(combo):
+                n, run = combo[at], 1
+                while at + run < len(combo) and combo[at + run] == n:
+                    run += 1
+                rows.append((n, ranks[n], base, run, offset))
+                ranks[n] += run * times
+                offset += n * run
+                at += run
+            base += times
+        table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
+        self.low, self.base, self.run, self.offset = table.T[1:]
+        self.first = np.searchsorted(table[:, 0], np.arange(capacity + 2))
+
+    def of(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence, offset) of pieces."""
+        sequence, offset = np.zeros_like(rank), np.zeros_like(rank)
+        by = np.argsort(length, kind="stable")
+        heads = np.flatnonzero(np.r_[True, np.diff(length[by]) != 0]) if len(by) else []
+        for some in np.split(by, heads[1:]) if len(by) else []:
+            n = int(length[some[0]])
+            a, b = self.first[n], self.first[n + 1]
+            at = a + np.searchsorted(self.low[a:b], rank[some], side="right") - 1
+            step = rank[some] - self.low[at]
+            sequence[some] = self.base[at] + step // self.run[at]
+            offset[some] = self.offset[at] + step % self.run[at] * n
+        return sequence, offset
 
 
 def pack(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator: int = 0) -> DataFrame:
@@ -239,15 +306,21 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, se
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = scratch.keep(by_part.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
     histogram = {r["length"]: r["n"] for r in offsets.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    ranges = _ranges(plan_patterns(histogram, capacity))
-    table = spark.createDataFrame(ranges or [(0, 0, 0, 0, 1, 0)], "r_length long, lo long, hi long, base long, run long, place long")
-    if len(ranges) <= BROADCAST_RANGES:
-        table = F.broadcast(table)
-    ranked = pieces.join(offsets.select("length", "part", "before"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("local"))
-    placed = ranked.join(table, (F.col("length") == F.col("r_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    step = F.col("rank") - F.col("lo")
-    return placed.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("base") + F.floor(step / F.col("run")).cast("long")).alias("sequence_id"),
-        (F.col("place") + (step % F.col("run")) * F.col("length")).alias("offset"),
-    )
+    # the plan is bounded by the capacity alone: each pattern uses up a length, and has no more than capacity pieces
+    shared = spark.sparkContext.broadcast(Places(plan_patterns(histogram, capacity), capacity))
+    # offsets grow with the partitions of the input, so they are never sent to all tasks
+    ranked = pieces.join(offsets.select("length", "part", "before").hint("shuffle_hash"), ["length", "part"])
+    kept = ("doc_id", "piece", "start", "length", "ids_crc32")
+
+    def make():
+        places = shared.value
+
+        def step(batch):
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            sequence, offset = places.of(length, rank)
+            return {c: batch.column(c) for c in kept} | {"sequence_id": sequence, "offset": offset}
+
+        return step
+
+    rows = ranked.select(*kept, (F.col("before") + F.col("local")).alias("rank"))
+    return map_batches(rows, make, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

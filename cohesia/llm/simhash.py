@@ -171,31 +171,6 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(of_all, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def with_row_key(documents: DataFrame) -> DataFrame:
+def with_row_key(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Two hashes of doc_id and text beside the columns: never null, and equal only for rows equal in both."""
-    return documents.withColumn("r1", F.xxhash64("doc_id", "text")).withColumn("r2", F.xxhash64("text", F.lit(SEED), "doc_id"))
-
-
-def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each group, columns unchanged: that with the smallest doc_id (nulls last), then the smallest hash.
-
-    Groups are components of fingerprints, not of ids: rows with a null or repeated doc_id and unlike texts all stay.
-    Rows equal in doc_id and text count as one.
-    """
-    scratch = Scratch(documents.sparkSession)
-
-    def make():
-        def step(batch):
-            found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            return {c: batch.column(c) for c in ("doc_id", "r1", "r2")} | {"fp": found.view(np.int64)}
-
-        return step
-
-    prints = scratch.keep(map_batches(with_row_key(documents.select("doc_id", "text")), make, "doc_id long, r1 long, r2 long, fp long"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("first")
-    groups = scratch.keep(prints.groupBy("fp").agg(first))
-    links = scratch.keep(near_links(groups.select("fp"), radius))
-    members = scratch.keep(connected_components(links, scratch)).select(F.col("node").alias("fp"), "component")
-    linked = groups.join(members, "fp", "left").select(F.coalesce("component", "fp").alias("c"), "first")
-    stay = linked.groupBy("c").agg(F.min("first").alias("first")).select("first.r1", "first.r2")
-    return with_row_key(documents).join(stay, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]).drop("r1", "r2")
+    return documents.withColumn("r1", F.xxhash64(doc_id, text)).withColumn("r2", F.xxhash64(text, F.lit(SEED), doc_id))

@@ -5,7 +5,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from cohesia.llm import decontamination, langid, pii, queries, simhash
+from cohesia.llm import decontamination, langid, near_copies, pii, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -40,26 +40,19 @@ def test_pipeline_stages(spark):
     kept = stage["language_id"](spark, docs, SF)
     assert kept.columns == docs.columns and kept.count() >= 0.99 * len(rows)
     one = {x["doc_id"] for x in stage["near_duplicates"](spark, docs, SF).collect()}
-    first: dict[int, int] = {}
-    prints = {d: simhash.fingerprint(x["text"]) for d, x in rows.items()}
-    for d in sorted(prints):
-        first.setdefault(prints[d], d)
-    values = sorted(first, key=first.get)
-    up = {v: v for v in values}
-
-    def root(v):
-        while up[v] != v:
-            v = up[v]
-        return v
-
-    for i, a in enumerate(values):
-        for b in values[:i]:
-            if (a ^ b).bit_count() <= 3:
-                up[root(a)] = root(b)
-    least: dict[int, int] = {}
-    for v in values:
-        least[root(v)] = min(least.get(root(v), 1 << 60), first[v])
-    assert one == set(least.values())
+    sets = {d: set(near_copies.shingles(x["text"]).tolist()) for d, x in rows.items()}
+    up = {d: d for d in rows}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if b < a and (x == y or 5 * len(x & y) >= 4 * len(x | y)):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    assert one == {root(d) for d in rows}
     items = [decontamination.normal(x["text"]) for x in bench.collect()]
     clean = {x["doc_id"] for x in stage["decontamination"](spark, docs, SF).collect()}
     holds = {d for d, x in rows.items() if any(i and i in decontamination.normal(x["text"]) for i in items)}
