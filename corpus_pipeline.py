@@ -1,7 +1,10 @@
 """A corpus from raw documents to packed training sequences.
 
 Five stages; each gets all that the one before kept, written as Parquet and read
-again. All but the last return the columns of ``documents``.
+again. All but the last return the columns of ``documents``, of whatever names. Null
+and empty texts: the first stage lets them go (no language can be told), the others take them as texts without
+words, matches or spans. Null and repeated doc_ids: every row is judged by its own text; rows equal in
+doc_id and text count as one in the second stage. An empty table stays empty. Texts are read whole, of any length.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (Jaccard of 5-word shingles at least 0.8) stays."""
+    """One document of each group of near-duplicates stays: covering SimHash tables and their exact completion at Jaccard 0.8 of 5-word shingles."""
     return near_copies.keep_one(docs)
 
 
