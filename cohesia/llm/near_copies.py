@@ -186,7 +186,7 @@ class _Verifier:
 def _fingerprint_pairs(groups: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): texts of one SimHash fingerprint with the first of them, and firsts of fingerprints that covering tables link."""
     firsts = scratch.keep(groups.where("n > 0").groupBy("fp").agg(F.min("rid").alias("head")))
-    links = scratch.keep(near_links(firsts.select("fp")))
+    links = near_links(firsts.select("fp"), scratch)
     same = groups.where("n > 0").join(firsts, "fp").where("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b"))
     ends = links.join(firsts.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
     return same.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))

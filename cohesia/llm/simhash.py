@@ -9,9 +9,9 @@ within the radius always agree in a whole table: none is missed, whatever the
 bits.
 
 Equal fingerprints are collapsed first (a group of copies is one row). Buckets
-of a table are compared inside one task with vectorised bit counts; a large
+of a table are compared with vectorised bit counts; a large
 bucket is split by blocks of its remaining bits (one of radius + 1 blocks must
-agree), so a bucket of near copies is never compared pair by pair. Each bucket
+agree), over many tasks where a worker could not hold it, so a bucket of near copies is never compared pair by pair. Each bucket
 hands on a spanning forest of its links, not all pairs; that keeps every
 component whole.
 
@@ -24,6 +24,7 @@ Columns other than ``doc_id`` and ``text`` are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,15 @@ from pyspark.sql import functions as F
 
 from cohesia.llm.batches import map_batches
 from cohesia.llm.components import connected_components
-from cohesia.session import Scratch
+from cohesia.session import Scratch, ship
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
 #: Fingerprints of one bucket that are compared at once; larger buckets are split.
 BUCKET = 1500
+#: Fingerprints of one bucket that a worker holds, and how often larger ones are dealt anew: 64 bits leave 32, 24, 18 and then 14 free.
+SPLIT, LEVELS = 20_000, 3
 _UPPER = {i: i + 32 for i in range(65, 91)}
 _BREAKS = {9: 32, 10: 32, 11: 32, 12: 32, 13: 32}
 
@@ -122,39 +125,79 @@ def bucket_links(values: np.ndarray, free: int, radius: int) -> list[tuple[int,
     return links
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links between distinct fingerprints that join every pair within the radius into one component."""
-    masks = covering_masks(radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    tables = F.explode(F.array(*(F.struct(F.lit(v).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for v, m in enumerate(signed)))).alias("t")
-    dealt = distinct.select("fp", tables).select("t.table", "t.key", "fp").repartition("table", "key").sortWithinPartitions("table", "key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def whole(table: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            new = np.r_[True, (table[1:] != table[:-1]) | (key[1:] != key[:-1])]
-            starts = np.r_[np.flatnonzero(new), len(fp)]
-            links: list[tuple[int, int]] = []
-            for k in np.flatnonzero(np.diff(starts) > 1):
-                at, end = starts[k], starts[k + 1]
-                links += bucket_links(fp[at:end].view(np.uint64), ~masks[table[at]] & (1 << 64) - 1, radius)
-            pairs = np.array(links, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("table", "key", "fp"))
-            if not len(now[0]):
+def _solved(batches: Iterator[pa.RecordBatch], free: list[int], radius: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """Links (a, b, -1) of sorted buckets (path, b, fp); the rows of a bucket over SPLIT are handed on as (fp, b, path) instead."""
+
+    def rows(a: np.ndarray, b: np.ndarray, path: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(path, pa.int32())], names=["a", "b", "path"])
+
+    def whole(path: np.ndarray, b: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        starts = np.r_[np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (b[1:] != b[:-1])]), len(fp)]
+        links: list[tuple[int, int]] = []
+        for k in np.flatnonzero(np.diff(starts) > 1):
+            at, end = starts[k], starts[k + 1]
+            links += bucket_links(fp[at:end].view(np.uint64), free[path[at]], radius)
+        pairs = np.array(links, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        return rows(pairs[:, 0], pairs[:, 1], np.full(len(pairs), -1))
+
+    held: list[tuple[np.ndarray, ...]] = []
+    wide: tuple[int, int] | None = None  # the bucket that is being handed on
+    for batch in batches:
+        now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("path", "b", "fp"))
+        if not len(now[0]):
+            continue
+        if wide:
+            more = np.flatnonzero((now[0] != wide[0]) | (now[1] != wide[1]))
+            cut = more[0] if len(more) else len(now[0])
+            yield rows(now[2][:cut], now[1][:cut], now[0][:cut])
+            now = tuple(x[cut:] for x in now)
+            if not len(more):
                 continue
-            now = tuple(np.concatenate(x) for x in zip(*held, now, strict=True))
-            last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
-            cut = last[-1] + 1 if len(last) else 0
-            held = [tuple(x[cut:].copy() for x in now)]
-            if cut:
-                yield whole(*(x[:cut] for x in now))
-        if held:
-            yield whole(*held[0])
-
-    return dealt.mapInArrow(run, "a long, b long")
+            wide = None
+        now = tuple(np.concatenate(x) for x in zip(*held, now, strict=True))
+        ends = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+        cut = ends[-1] + 1 if len(ends) else 0
+        if cut:
+            yield whole(*(x[:cut] for x in now))
+        held = [tuple(x[cut:].copy() for x in now)]
+        if not last and len(held[0][0]) > SPLIT:
+            wide = int(held[0][0][0]), int(held[0][1][0])
+            yield rows(held[0][2], held[0][1], held[0][0])
+            held = []
+    if held:
+        yield whole(*held[0])
+
+
+def near_links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links between distinct fingerprints that join every pair within the radius into one component.
+
+    A bucket over SPLIT is never held: its rows are dealt anew by each of radius + 1 blocks of its free bits (two of them within
+    the radius agree in a whole block). After LEVELS of that a bucket has no more free bits than fingerprints fit in a worker.
+    """
+    free = [(1 << 64) - 1 & ~m for m in covering_masks(radius)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    key = lambda m: F.col("fp").bitwiseAND(m)
+    first = (F.struct(F.lit(v).alias("path"), F.xxhash64(key(F.lit(signed((1 << 64) - 1 & ~m)))).alias("b")) for v, m in enumerate(free))
+    rows = distinct.select("fp", F.explode(F.array(*first)).alias("t")).select("t.path", "t.b", "fp")
+    ship(distinct.sparkSession)
+    found = []
+    for level in range(LEVELS + 1):
+
+        def run(batches: Iterator[pa.RecordBatch], free=free, last=level == LEVELS) -> Iterator[pa.RecordBatch]:
+            return _solved(batches, free, radius, last)
+
+        done = scratch.keep(rows.repartition("path", "b").sortWithinPartitions("path", "b").mapInArrow(run, "a long, b long, path int"))
+        found.append(done.where("path = -1").select("a", "b"))
+        wide = done.where("path >= 0")
+        if level == LEVELS or wide.isEmpty():
+            break
+        blocks = [[sum(1 << int(i) for i in part) for part in np.array_split([i for i in range(64) if f >> i & 1], radius + 1)] for f in free]
+        masks = F.array(*(F.array(*(F.lit(signed(m)) for m in some)) for some in blocks))
+        parts = F.posexplode(masks[F.col("path")]).alias("k", "mask")
+        again = wide.select(F.col("a").alias("fp"), "b", "path", parts)
+        rows = again.select((F.col("path") * (radius + 1) + F.col("k")).cast("int").alias("path"), F.xxhash64("b", "k", F.col("fp").bitwiseAND(F.col("mask"))).alias("b"), "fp")
+        free = [f & ~m for f, some in zip(free, blocks, strict=True) for m in some]
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -162,7 +205,7 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     scratch = Scratch(documents.sparkSession)
     prints = scratch.keep(fingerprints(documents))
     groups = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    links = scratch.keep(near_links(groups.select("fp"), radius))
+    links = near_links(groups.select("fp"), scratch, radius)
     members = scratch.keep(connected_components(links, scratch))
     linked = members.join(groups, members.node == groups.fp).select("component", "first", "fp")
     least = scratch.keep(linked.groupBy("component").agg(F.min("first").alias("least")))

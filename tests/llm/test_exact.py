@@ -171,6 +171,16 @@ def test_covering_masks_lose_nothing():
         assert any(not bits & m for m in masks)
 
 
+def plain_fingerprint(text):
+    """Bit by bit from the definition."""
+    import xxhash
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return format(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)), "016x")
+
+
 def test_simhash_components(spark, odd, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 40)
     r = random.Random(2)
@@ -186,7 +196,11 @@ def test_simhash_components(spark, odd, monkeypatch):
     from cohesia.llm.components import connected_components
     from cohesia.session import Scratch
 
-    got = {x["node"]: x["component"] for x in connected_components(simhash.near_links(links), Scratch(spark)).collect()}
+    scratch = Scratch(spark)
+    got = {x["node"]: x["component"] for x in connected_components(simhash.near_links(links, scratch), scratch).collect()}
+    monkeypatch.setattr(simhash, "SPLIT", 5)  # what no worker may hold is dealt anew, three times
+    split = {x["node"]: x["component"] for x in connected_components(simhash.near_links(links.repartition(3), scratch), scratch).collect()}
+    assert split == got
     parent = list(range(len(values)))
 
     def root(i):
@@ -204,6 +218,7 @@ def test_simhash_components(spark, odd, monkeypatch):
     assert got == want
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
+    assert {(x["doc_id"], x["fingerprint"]) for x in rows} == {(x["doc_id"], plain_fingerprint(x["text"])) for x in odd.collect()}
     zero = {x["component_id"] for x in rows if x["fingerprint"] == "0" * 16}
     assert zero == {0}
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
