@@ -61,10 +61,13 @@ def test_suffix_dedup(spark, odd, monkeypatch):
     texts = [passage[:120], "".join(r.choice("ab") for _ in range(400)), "zz" * 80] + [f"{r.random()}{passage[r.randint(0, 60) : r.randint(100, 180)]}{r.random()}" for _ in range(90)] + ["zz" * 60, passage + passage]
     rows = list(enumerate(texts))
     want = brute_repeats(rows)
-    for wide in (64, 3):
+    for wide in (64, 3, 0):
         monkeypatch.setattr(suffix_dedup, "WIDE", wide)
         got = {x["doc_id"]: {(x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"])} for x in suffix_dedup.digest(docs(spark, texts)).collect()}
         assert got == want
+    with monkeypatch.context() as m:  # without the suffix arrays nothing is removed
+        m.setattr(suffix_dedup, "earlier_strings", lambda regions, firsts, members: np.zeros(len(regions), dtype=np.int64))
+        assert {x["n_removed"] for x in suffix_dedup.digest(docs(spark, texts)).collect()} == {0}
     got = suffix_dedup.deduplicate(odd).collect()
     assert len(got) == odd.count()
     want = brute_repeats([(x["doc_id"], x["text"]) for x in odd.collect()])
