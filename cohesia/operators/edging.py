@@ -1,16 +1,17 @@
 """Edging distance: the longest hop of a greedy walk between two points, and what is built on it.
 
-The walk is sequential and not symmetric. Points are shared with all tasks (``GROUP_ROWS`` at
-most); the walks themselves, one for each (start, end), are spread over the cluster.
+The walk is sequential and not symmetric. The walks of a data set, one for each (start, end), are dealt to
+``SPREAD`` tasks, each of which gets the points of that data set (``GROUP_ROWS`` at most) and holds one set at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohesia.functions.internal import ratio
@@ -20,81 +21,99 @@ from cohesia.operators.stats import medoids, overall_medoid
 from cohesia.session import Scratch, ship
 
 C = F.col
+#: Tasks that the walks of one data set are dealt to.
+SPREAD = 16
+
+
+@dataclass(frozen=True)
+class Detour:
+    """A stretch on which the walker has gone away from the end: where it began, how far off that was, and steps it may still last."""
+
+    mark: int
+    distance: float
+    steps: int
+
+
+def after_look(detour: Detour | None, here: float, closest: float, hops: int, lookahead: int) -> tuple[Detour | None, bool]:
+    """The walker's state after a look around, and whether it gives up.
+
+    On the approach (no detour) a walker whose candidates are all farther off than itself begins a detour. A detour ends
+    once a candidate is no farther off and the walker is nearer than where it began; it gives up with its last step.
+    """
+    if closest > here:
+        detour = detour or Detour(hops, here, lookahead)
+    elif detour and here < detour.distance:
+        detour = None
+    if detour:
+        detour = replace(detour, steps=detour.steps - 1)
+    return detour, bool(detour) and detour.steps == 0
+
+
+def nearest_unseen(x: np.ndarray, at: int, seen: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest places not seen yet, near ones first, lower numbers on a tie; all in order of number if no more than k are left."""
+    open_ = np.flatnonzero(~seen)
+    if len(open_) <= k:
+        return open_
+    d = ((x[open_] - x[at]) ** 2).sum(axis=1)
+    close = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+    return open_[close[np.argsort(d[close], kind="stable")[:k]]]
 
 
 def walk(x: np.ndarray, start: int, end: int, k: int = 5, lookahead: int = 10) -> float:
-    """Longest hop of the walk between two places.
+    """Longest hop of the walk between two places (the first rows with their coordinates).
 
-    Each step looks at the k nearest points not seen yet, goes to the one closest to the end, and counts all k as
-    seen. When all are farther from the end than the walker, it goes on for ``lookahead`` steps in the hope of getting
-    closer; failing that, it returns to where the detour began and jumps to the end.
+    Every look counts all candidates as seen, and the walker goes to the one closest to the end. Giving up, it jumps to the end
+    from where it is, or from where the detour began if that was nearer.
     """
-    same = (x == x[end]).all(axis=1)
-    start, end = int(np.flatnonzero((x == x[start]).all(axis=1))[0]), int(np.flatnonzero(same)[0])
-    if start == end:
-        return 0.0
+    start, end = (int((x == x[p]).all(axis=1).argmax()) for p in (start, end))
+    off = np.sqrt(((x - x[end]) ** 2).sum(axis=1))
     seen = np.zeros(len(x), dtype=bool)
     seen[start] = True
-    left = len(x) - 1
-    to_end = np.sqrt(((x - x[end]) ** 2).sum(axis=1))
-    at, path = start, [start]
-    detour: tuple[list[int], float] | None = None
-    hoping, patience = False, 0
-    while at != end and left:
-        if left > k:
-            d = ((x - x[at]) ** 2).sum(axis=1)
-            d[seen] = np.inf
-            near = np.argpartition(d, min(k, left - 1))[:k]
-            near = near[~seen[near]]
-            near = near[np.argsort(d[near])]
-        else:
-            near = np.flatnonzero(~seen)
-        here = to_end[at]
-        ahead = to_end[near]
-        step = int(near[ahead.argmin()])
-        if (ahead > here).all():
-            if not hoping:
-                hoping, patience, detour = True, lookahead, (list(path), float(here))
-        elif detour and here < detour[1]:
-            hoping = False
-        if hoping:
-            patience -= 1
-            if patience == 0:
-                if detour and here > detour[1]:
-                    path = detour[0]
-                step = end
-        at = step
+    stops, detour = [start], None
+    while stops[-1] != end and not seen.all():
+        at = stops[-1]
+        near = nearest_unseen(x, at, seen, k)
         seen[near] = True
-        left -= len(near)
-        path.append(at)
-    if len(path) == 1:
-        return float(to_end[path[0]])
-    hops = x[path]
-    return float(np.sqrt((np.diff(hops, axis=0) ** 2).sum(axis=1)).max())
+        best = near[off[near].argmin()]
+        detour, lost = after_look(detour, off[at], off[best], len(stops), lookahead)
+        if lost and off[at] > detour.distance:
+            del stops[detour.mark :]
+        stops.append(end if lost else int(best))
+    return float(np.sqrt((np.diff(x[stops], axis=0) ** 2).sum(axis=1)).max(initial=0.0))
 
 
-def edging_distances(p: DataFrame, pairs: DataFrame, k: int = 5, lookahead: int = 10) -> DataFrame:
-    """(keys, s, e, d) for pairs (keys, s, e) of row ids. The points of a key go to each task once."""
+def _with_points(rows: DataFrame, p: DataFrame, by: Column, apply: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``apply`` to the rows of a key, in SPREAD parts, with all points of the key in order of row_id; neither passes the driver."""
     ship(p.sparkSession)
-    sized = p.groupBy(*KEYS).count().agg(F.max("count")).first()[0] or 0
-    if sized > GROUP_ROWS:
-        raise ValueError(f"edging distance is sequential: {sized} points are over the limit of {GROUP_ROWS}")
-    shared: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
-    for key, rows in p.select(*KEYS, "row_id", "x").toPandas().groupby(KEYS):
-        rows = rows.sort_values("row_id")
-        shared[key] = (rows["row_id"].to_numpy(), np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), -1))
-    sent = p.sparkSession.sparkContext.broadcast(shared)  # GROUP_ROWS points a key
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            out = []
-            for ds, ls, s, e in pdf[[*KEYS, "s", "e"]].itertuples(index=False):
-                ids, x = sent.value[(ds, ls)]
-                out.append(walk(x, int(np.searchsorted(ids, s)), int(np.searchsorted(ids, e)), k, lookahead))
-            yield pdf[[*KEYS, "s", "e"]].assign(d=out)
-
-    spread = pairs.select(*KEYS, "s", "e").repartition("s", "e")
-    return spread.mapInPandas(run, "dataset string, labelset string, s long, e long, d double")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(some: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        if not len(some):  # no rows of the key were dealt here
+            return pd.DataFrame(columns=names)
+        if len(points) > GROUP_ROWS:
+            raise ValueError(f"edging distance is sequential: {len(points)} points are over the limit of {GROUP_ROWS}")
+        return apply(some, points.rename(columns=lambda c: c[2:]).sort_values("row_id", ignore_index=True))
+
+    part = [*KEYS, "part"]
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int"))
+    copies = p.withColumn("part", F.explode(F.array(*(F.lit(i) for i in range(SPREAD)))))
+    named = copies.toDF(*(f"p_{c}" for c in copies.columns))  # both sides may come from one frame
+    return dealt.groupBy(*part).cogroup(named.groupBy(*(f"p_{c}" for c in part))).applyInPandas(run, schema)
+
+
+def _matrix(points: pd.DataFrame) -> np.ndarray:
+    return np.array(points["x"].tolist(), dtype=float).reshape(len(points), -1)
+
+
+def edging_distances(p: DataFrame, pairs: DataFrame, k: int = 5, lookahead: int = 10) -> DataFrame:
+    """(keys, s, e, d) for pairs (keys, s, e) of row ids."""
+
+    def apply(some: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        x, ids = _matrix(points), points["row_id"].to_numpy()
+        starts, ends = (np.searchsorted(ids, some[c].to_numpy()) for c in ("s", "e"))
+        return some[[*KEYS, "s", "e"]].assign(d=[walk(x, int(a), int(b), k, lookahead) for a, b in zip(starts, ends, strict=True)])
+
+    return _with_points(pairs.select(*KEYS, "s", "e"), p.select(*KEYS, "row_id", "x"), F.struct("s", "e"), apply, "dataset string, labelset string, s long, e long, d double")
 
 
 def _to_medoids(p: DataFrame, dim: int, k: int, lookahead: int) -> tuple[DataFrame, DataFrame]:
@@ -170,22 +189,18 @@ def ed_kmeans(p: DataFrame, dim: int, clusters: int, k: int = 3, lookahead: int
 
 def _by_paths_inside(assigned: DataFrame, centres: DataFrame, k: int, lookahead: int) -> DataFrame:
     """Final assignment: walks may use the points of the centre's old cluster and the point itself."""
-    rows = {key: r.sort_values("row_id") for key, r in assigned.toPandas().groupby(KEYS)}  # within GROUP_ROWS, checked above
-    marks = {key: dict(zip(r["label"], r["e"], strict=True)) for key, r in centres.toPandas().groupby(KEYS)}
-    sent = assigned.sparkSession.sparkContext.broadcast((rows, marks))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            out = []
-            for ds, ls, row_id in pdf[[*KEYS, "row_id"]].itertuples(index=False):
-                r, by_label = sent.value[0][(ds, ls)], sent.value[1][(ds, ls)]
-                x, ids, labels = np.array(r["x"].tolist()), r["row_id"].to_numpy(), r["label"].to_numpy()
-                here = x[np.searchsorted(ids, row_id)]
-                far = []
-                for label, e in sorted(by_label.items()):
-                    inside = np.vstack((x[labels == label], x[ids == e], here))
-                    far.append((walk(inside, len(inside) - 1, len(inside) - 2, k, lookahead), label))
-                out.append(min(far)[1])
-            yield pdf.assign(label=np.array(out, dtype="int32"))
-
-    return assigned.repartition("row_id").mapInPandas(run, assigned.schema)
+
+    def apply(some: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        x, labels, ids = _matrix(points), points["label"].to_numpy(), points["row_id"].to_numpy()
+        inside = {of: (x[labels == of], x[points["of"].to_numpy() == of]) for of in sorted(points["of"].dropna().astype(int).unique())}
+
+        def nearest(row_id: int) -> int:
+            here = x[ids == row_id]
+            far = {of: walk(np.vstack((own, centre, here)), len(own) + 1, len(own), k, lookahead) for of, (own, centre) in inside.items()}
+            return min(far, key=lambda of: (far[of], of))
+
+        return some[[*KEYS, "row_id", "x"]].assign(label=np.array([nearest(r) for r in some["row_id"]], dtype="int32"))
+
+    marks = centres.select(*KEYS, C("e").alias("row_id"), C("label").alias("of"))
+    points = assigned.join(marks, [*KEYS, "row_id"], "left").select(*KEYS, "row_id", "x", "label", "of")
+    return _with_points(assigned, points, C("row_id"), apply, "dataset string, labelset string, row_id long, x array<double>, label int")

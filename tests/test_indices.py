@@ -212,3 +212,17 @@ def test_stream(spark, cloud, tmp_path):
     q.awaitTermination()
     got = indices(spark.table("running"), 2).collect()[0]
     assert got["ch"] == pytest.approx(value(LINEAR["ch"][0](frame(spark, xs, y), 2)))
+
+
+def test_edging_walk_states():
+    begun, lost = edging.after_look(None, 2.0, 3.0, 4, 2)
+    assert begun == edging.Detour(4, 2.0, 1) and not lost
+    assert edging.after_look(begun, 3.0, 3.5, 5, 2) == (edging.Detour(4, 2.0, 0), True)  # it does not begin anew
+    assert edging.after_look(begun, 1.5, 1.0, 5, 2) == (None, False)  # nearer than where it began
+    assert edging.after_look(begun, 2.5, 1.0, 5, 2) == (edging.Detour(4, 2.0, 0), True)  # closer candidates alone do not end it
+    assert edging.after_look(None, 2.0, 1.0, 4, 2) == (None, False)
+    x = np.array([[0.0], [1.0], [2.0], [9.0]])
+    assert edging.nearest_unseen(x, 1, np.array([False, True, False, False]), 2).tolist() == [0, 2]
+    # a wall of points away from the end: the walker turns back and jumps
+    x = np.array([[0.0, 0.0], [-1.0, 0.0], [-2.0, 0.0], [-3.0, 0.0], [-4.0, 0.0], [5.0, 0.0]])
+    assert edging.walk(x, 0, 5, 1, 2) == 5.0
