@@ -65,9 +65,10 @@ def test_suffix_dedup(spark, odd, monkeypatch):
         monkeypatch.setattr(suffix_dedup, "WIDE", wide)
         got = {x["doc_id"]: {(x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"])} for x in suffix_dedup.digest(docs(spark, texts)).collect()}
         assert got == want
-    with monkeypatch.context() as m:  # without the suffix arrays nothing is removed
+    with monkeypatch.context() as m:  # without the suffix arrays only regions that are equal as a whole go
         m.setattr(suffix_dedup, "earlier_strings", lambda regions, firsts, members: np.zeros(len(regions), dtype=np.int64))
-        assert {x["n_removed"] for x in suffix_dedup.digest(docs(spark, texts)).collect()} == {0}
+        left = sum(x["n_removed"] for x in suffix_dedup.digest(docs(spark, texts)).collect())
+        assert left < 0.8 * sum(n for x in want.values() for _, n, *_ in x)
     got = suffix_dedup.deduplicate(odd).collect()
     assert len(got) == odd.count()
     want = brute_repeats([(x["doc_id"], x["text"]) for x in odd.collect()])
