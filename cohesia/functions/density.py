@@ -29,16 +29,18 @@ def near_duplicates(p: DataFrame, within: float = 1e-9) -> DataFrame:
 def _cores(p: DataFrame, dim: int) -> DataFrame:
     """(keys, row_id, label, core): core distance by log-sum-exp of -d ln D, D the squared distance."""
 
-    def work(a, b):
+    def work(a, others):
         ids, labels, xs, _ = a
-        jds, jlabels, ys, _ = b
-        d = np.maximum(pp.distances(xs, ys, "sqeuclidean"), FLOOR)
-        t = np.where((labels[:, None] == jlabels[None, :]) & (ids[:, None] != jds[None, :]), -dim * np.log(d), -np.inf)
-        top = t.max(axis=1)
-        some = np.isfinite(top)
-        s = np.zeros(len(ids))
-        s[some] = np.exp(t[some] - top[some, None]).sum(axis=1)
-        return [(int(i), int(la), float(m), float(v)) for i, la, m, v, ok in zip(ids, labels, top, s, some, strict=True) if ok]
+        top, s = np.full(len(ids), -np.inf), np.zeros(len(ids))
+        for (jds, jlabels, ys, _), _ in others:
+            d = np.maximum(pp.distances(xs, ys, "sqeuclidean"), FLOOR)
+            t = np.where((labels[:, None] == jlabels[None, :]) & (ids[:, None] != jds[None, :]), -dim * np.log(d), -np.inf)
+            new = np.maximum(top, t.max(axis=1))
+            some = np.isfinite(new)
+            s[some] = s[some] * np.exp(top[some] - new[some]) + np.exp(t[some] - new[some, None]).sum(axis=1)
+            top = new
+        has = np.isfinite(top)
+        return [ids[has], labels[has].astype(np.int32), top[has], s[has]]
 
     made = pp.blocks(p)
     parts = pp.block_pairs(made, made, work, "dataset string, labelset string, row_id long, label int, m double, s double")
@@ -87,16 +89,17 @@ def dbcv(p: DataFrame, dim: int, noise: int = -1, check_duplicates: bool = True)
     tree = scratch.keep(q.join(_cores(q, dim).drop("label"), [*KEYS, "row_id"]).groupBy(*KEYS, "label").applyInPandas(_cluster_tree, "dataset string, labelset string, row_id long, label int, x array<double>, core double, internal boolean, dsc double"))
     inner = tree.where("internal")
 
-    def work(a, b):
+    def work(a, others):
         _, labels, xs, cores = a
-        _, jlabels, ys, jcores = b
-        d = np.maximum(np.maximum(np.maximum(pp.distances(xs, ys, "sqeuclidean"), FLOOR), cores[:, None]), jcores[None, :])
-        out = []
-        for i in np.unique(labels):
-            for j in np.unique(jlabels):
-                if i != j:
-                    out.append((int(i), int(j), float(d[np.ix_(labels == i, jlabels == j)].min())))
-        return out
+        least: dict[tuple[int, int], float] = {}
+        for (_, jlabels, ys, jcores), _ in others:
+            d = np.maximum(np.maximum(np.maximum(pp.distances(xs, ys, "sqeuclidean"), FLOOR), cores[:, None]), jcores[None, :])
+            for i in np.unique(labels):
+                for j in np.unique(jlabels):
+                    if i != j:
+                        at = (int(i), int(j))
+                        least[at] = min(least.get(at, np.inf), float(d[np.ix_(labels == i, jlabels == j)].min()))
+        return [np.array([i for i, _ in least], dtype=np.int32), np.array([j for _, j in least], dtype=np.int32), np.array(list(least.values()), dtype=float)]
 
     made = pp.blocks(inner.select(*KEYS, "row_id", "x", "label", "core"), extra="core")
     sep = pp.block_pairs(made, made, work, "dataset string, labelset string, label int, other int, d double").groupBy(*KEYS, "label").agg(F.min("d").alias("dspc"))

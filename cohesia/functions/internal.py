@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from cohesia.functions.vectors import dist, sq_dist_of_few
 from cohesia.operators.frames import KEYS
-from cohesia.operators.stats import centroid_pairs, centroids, cluster_stats, covariances, with_centroid_list
-from cohesia.session import ship
+from cohesia.operators.stats import centroid_pairs, centroids, cluster_lists, cluster_stats, covariances, with_centroid_list
+from cohesia.session import Scratch, ship
 
 C = F.col
 
@@ -25,56 +25,117 @@ def ratio(a: Column | float, b: Column) -> Column:
     return F.try_divide(a if isinstance(a, Column) else F.lit(a), b)
 
 
-def _whole(s: DataFrame, dim: int) -> DataFrame:
-    """(keys, n, k, ssw, ssb, ...): sums over the clusters."""
-    return s.groupBy(*KEYS).agg(
-        F.max("big_n").alias("n"), F.max("k").alias("k"), F.sum("ssw").alias("ssw"), F.sum(C("n") * sq_dist_of_few(C("mu"), C("mu_all"))).alias("ssb"), F.sum("sd").alias("sd"), F.sum("sd_all").alias("sd_all"),
-        F.max(C("ssw") / C("n")).alias("max_msq"), F.sum(C("ssw") / C("n")).alias("sum_msq"), F.max("n").alias("max_n"),
+def _msq(c: Column) -> Column:
+    return c["ssw"] / c["n"]
+
+
+def _d2(a: Column, b: Column) -> Column:
+    return sq_dist_of_few(a["mu"], b["mu"])
+
+
+def _sum(values: Column) -> Column:
+    """Sum of the values of an array that are not null; null if there are none."""
+    known = F.filter(values, lambda v: v.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, v: s + v))
+
+
+def _over_clusters(value: Callable[[Column], Column]) -> Column:
+    return F.transform("cs", value)
+
+
+def _over_pairs(value: Callable[[Column, Column], Column]) -> Column:
+    """value of every unordered pair of clusters."""
+    later = lambda a: F.filter("cs", lambda b: b["label"] > a["label"])
+    return F.flatten(F.transform("cs", lambda a: F.transform(later(a), lambda b: value(a, b))))
+
+
+def _over_others(a: Column, value: Callable[[Column], Column]) -> Column:
+    return F.transform(F.filter("cs", lambda b: b["label"] != a["label"]), value)
+
+
+def base(p: DataFrame, dim: int) -> DataFrame:
+    """One row for each data set and label set, after one scan: its clusters as an array, and sums over them.
+
+    All indices that need no distances of points but squared ones to their own centroid are expressions over this row.
+    """
+    row = cluster_lists(centroids(p, dim), dim)
+    return row.select(
+        *KEYS, "cs", C("big_n").alias("n"), "k", _sum(_over_clusters(lambda c: c["ssw"])).alias("ssw"),
+        _sum(_over_clusters(lambda c: c["n"] * sq_dist_of_few(c["mu"], C("mu_all")))).alias("ssb"), F.array_max(_over_clusters(_msq)).alias("max_msq"), _sum(_over_clusters(_msq)).alias("sum_msq"),
     )
 
 
-def _separation(s: DataFrame, dim: int) -> DataFrame:
-    """(keys, min_d2, max_dc, min_dc): extremes over pairs of centroids."""
-    return centroid_pairs(s, dim).groupBy(*KEYS).agg(F.min("d2").alias("min_d2"), F.max("dc").alias("max_dc"), F.min("dc").alias("min_dc"))
+def _min_d2() -> Column:
+    return F.array_min(_over_pairs(_d2))
 
 
-def _simple(formula: Callable[[], Column]) -> Callable[[DataFrame, int], DataFrame]:
-    def run(p: DataFrame, dim: int) -> DataFrame:
-        return _whole(cluster_stats(p, dim), dim).select(*KEYS, formula().alias("value"))
+def _silhouettes() -> Column:
+    """Of each cluster: its mean square against the least mean square of another cluster about this centroid."""
+
+    def one(a: Column) -> Column:
+        far = F.array_min(_over_others(a, lambda b: _msq(b) + _d2(a, b)))
+        return ratio(far - _msq(a), F.greatest(far, _msq(a)))
+
+    return _over_clusters(one)
+
+
+def _separations() -> Column:
+    """Of each cluster: its relative size less exp(-d^2 / beta) to the nearest centroid, beta the mean square of centroids about their mean."""
+    mid = F.transform(F.sequence(F.lit(0), F.size(C("cs")[0]["mu"]) - 1), lambda i: F.aggregate("cs", F.lit(0.0), lambda s, c: s + c["mu"][i]) / C("k"))
+    beta = F.aggregate("cs", F.lit(0.0), lambda s, c: s + sq_dist_of_few(c["mu"], C("mid_"))) / C("k")
+    top = F.array_max(_over_clusters(lambda c: c["n"]))
+    return mid, beta, lambda b: _over_clusters(lambda a: F.when(C("k") > 1, a["n"] / top - F.exp(-ratio(F.array_min(_over_others(a, lambda o: _d2(a, o))), b))))
 
-    return run
 
+#: Indices as expressions over ``base``.
+FROM_BASE: dict[str, Callable[[], Column]] = {
+    "ch": lambda: ratio(ratio(C("ssb"), C("k") - 1), ratio(C("ssw"), C("n") - C("k"))),
+    "sse": lambda: C("ssw"),
+    "bh": lambda: ratio(C("ssw"), C("k")),
+    "wb": lambda: ratio(C("k") * C("ssw"), C("ssb")),
+    "rs": lambda: 1 - ratio(C("sum_msq"), (C("ssw") + C("ssb")) / C("n")),
+    "xb": lambda: ratio(C("ssw"), C("n") * _min_d2()),
+    "xb_star": lambda: ratio(C("max_msq"), _min_d2()),
+    "gd43": lambda: ratio(F.sqrt(_min_d2()), 2 * C("max_msq")),
+    # least joint spread of two clusters over twice the largest mean square
+    "gd53": lambda: ratio(F.array_min(_over_pairs(lambda a, b: (a["ssw"] + b["ssw"]) / (a["n"] + b["n"]))), 2 * C("max_msq")),
+    "csil": lambda: ratio(_sum(_silhouettes()), F.size(F.filter(_silhouettes(), lambda v: v.isNotNull())).cast("double")),
+    # sum of the mean squares over those about the nearest other centroid
+    "h": lambda: _sum(_over_clusters(lambda a: ratio(_msq(a), _msq(a) + F.array_min(_over_others(a, lambda b: _d2(a, b)))))),
+}
 
-def _separated(formula: Callable[[], Column]) -> Callable[[DataFrame, int], DataFrame]:
+
+def _from_base(name: str) -> Callable[[DataFrame, int], DataFrame]:
     def run(p: DataFrame, dim: int) -> DataFrame:
-        s = cluster_stats(p, dim)
-        return _whole(s, dim).join(_separation(s, dim), KEYS, "left").select(*KEYS, formula().alias("value"))
+        return base(p, dim).select(*KEYS, FROM_BASE[name]().alias("value"))
 
     return run
 
 
-calinski_harabasz = _simple(lambda: ratio(ratio(C("ssb"), C("k") - 1), ratio(C("ssw"), C("n") - C("k"))))
-sse = _simple(lambda: C("ssw"))
-ball_hall = _simple(lambda: ratio(C("ssw"), C("k")))
-wb = _simple(lambda: ratio(C("k") * C("ssw"), C("ssb")))
-r_squared = _simple(lambda: 1 - ratio(C("sum_msq"), (C("ssw") + C("ssb")) / C("n")))
-xie_beni = _separated(lambda: ratio(C("ssw"), C("n") * C("min_d2")))
-xie_beni_star = _separated(lambda: ratio(C("max_msq"), C("min_d2")))
-gd43 = _separated(lambda: ratio(C("min_dc"), 2 * C("max_msq")))
-i_index = _separated(lambda: F.pow(ratio(C("sd_all"), C("sd")) / C("k") * C("max_dc"), F.lit(2.0)))
+def many_from_base(p: DataFrame, dim: int, names: list[str]) -> DataFrame:
+    """(keys, metric, value) of several indices of ``FROM_BASE`` after one scan."""
+    values = F.array(*(F.struct(F.lit(n).alias("metric"), FROM_BASE[n]().cast("double").alias("value")) for n in names))
+    return base(p, dim).select(*KEYS, F.explode(values).alias("v")).select(*KEYS, "v.*")
 
 
-def gd53(p: DataFrame, dim: int) -> DataFrame:
-    """Least joint spread of two clusters over twice the largest mean square."""
-    s = cluster_stats(p, dim)
-    pairs = centroid_pairs(s, dim, ("n", "ssw")).groupBy(*KEYS).agg(F.min((C("ssw_i") + C("ssw_j")) / (C("n_i") + C("n_j"))).alias("least"))
-    return _whole(s, dim).join(pairs, KEYS, "left").select(*KEYS, ratio(C("least"), 2 * C("max_msq")).alias("value"))
+def partition_separation(p: DataFrame, dim: int) -> DataFrame:
+    """Sum over clusters of the relative size less exp(-d^2 / beta) to the nearest centroid."""
+    mid, beta, values = _separations()
+    row = base(p, dim).withColumn("mid_", mid).withColumn("beta_", beta)
+    return row.select(*KEYS, _sum(values(C("beta_"))).alias("value"))
+
+
+def i_index(p: DataFrame, dim: int) -> DataFrame:
+    """((distances to the centre over those to the centroids) / K x the largest centroid distance) squared."""
+    s = Scratch(p.sparkSession).keep(cluster_stats(p, dim))
+    whole = s.groupBy(*KEYS).agg(F.sum("sd").alias("sd"), F.sum("sd_all").alias("sd_all"), F.max("k").alias("k"))
+    widest = centroid_pairs(s, dim).groupBy(*KEYS).agg(F.max("dc").alias("max_dc"))
+    return whole.join(widest, KEYS, "left").select(*KEYS, F.pow(ratio(C("sd_all"), C("sd")) / C("k") * C("max_dc"), F.lit(2.0)).alias("value"))
 
 
 def davies_bouldin(p: DataFrame, dim: int) -> DataFrame:
     """Mean over clusters of the worst ratio of scatters to centroid distance."""
-    s = cluster_stats(p, dim)
-    pairs = centroid_pairs(s.withColumn("s", C("sd") / C("n")), dim, ("s", "k")).withColumn("r", ratio(C("s_i") + C("s_j"), C("dc")))
+    pairs = centroid_pairs(cluster_stats(p, dim).withColumn("s", C("sd") / C("n")), dim, ("s", "k")).withColumn("r", ratio(C("s_i") + C("s_j"), C("dc")))
     ends = F.explode(F.array(C("li"), C("lj"))).alias("label")
     worst = pairs.select(*KEYS, ends, "r", "k_i").groupBy(*KEYS, "label").agg(F.max("r").alias("r"), F.max("k_i").alias("k"))
     return worst.groupBy(*KEYS).agg((F.sum("r") / F.max("k")).alias("value"))
@@ -93,44 +154,12 @@ def _own_and_nearest(p: DataFrame, dim: int) -> DataFrame:
 
 def np_silhouette(p: DataFrame, dim: int) -> DataFrame:
     """Centroid silhouette with a cluster's mean distance as cohesion; 0 for one cluster."""
-    q = _own_and_nearest(p, dim)
-    mean = q.groupBy(*KEYS, "label").agg(F.avg("a").alias("cohesion"))
-    s = q.join(mean, [*KEYS, "label"])
-    one = ratio(C("b") - C("cohesion"), F.greatest("b", "cohesion"))
-    return s.groupBy(*KEYS).agg(F.when(F.count("b") == 0, F.lit(0.0)).otherwise(F.avg(one)).alias("value"))
-
-
-def _spread_pairs(p: DataFrame, dim: int) -> DataFrame:
-    """(keys, i, msq_i, msq_j, d2, k): ordered pairs of clusters with their mean squares.
-
-    The mean square of a cluster's points about another centroid is its own plus the squared centroid distance, so the
-    points are read once, for their own centroid.
-    """
-    s = cluster_stats(p, dim).withColumn("msq", C("ssw") / C("n"))
-    pairs = centroid_pairs(s, dim, ("msq", "k"))
-    back = pairs.select(*KEYS, C("lj").alias("i"), C("msq_j").alias("msq_i"), C("msq_i").alias("msq_j"), "d2", C("k_i").alias("k"))
-    return pairs.select(*KEYS, C("li").alias("i"), "msq_i", "msq_j", "d2", C("k_i").alias("k")).unionByName(back)
-
-
-def centroid_silhouette(p: DataFrame, dim: int) -> DataFrame:
-    """Mean over clusters of a silhouette of mean squares: own points against the nearest other cluster's about this centroid."""
-    by = _spread_pairs(p, dim).groupBy(*KEYS, "i").agg(F.max("msq_i").alias("a"), F.min(C("msq_j") + C("d2")).alias("b"))
-    return by.groupBy(*KEYS).agg(F.avg(ratio(C("b") - C("a"), F.greatest("a", "b"))).alias("value"))
-
-
-def hartigan(p: DataFrame, dim: int) -> DataFrame:
-    """Sum over clusters of the mean square over that about the nearest other centroid."""
-    by = _spread_pairs(p, dim).groupBy(*KEYS, "i").agg(F.max("msq_i").alias("a"), F.min(C("msq_i") + C("d2")).alias("b"))
-    return by.groupBy(*KEYS).agg(F.sum(ratio(C("a"), C("b"))).alias("value"))
-
-
-def partition_separation(p: DataFrame, dim: int) -> DataFrame:
-    """Relative sizes less exp(-d^2 / beta) to the nearest centroid, beta the mean square of centroids about their mean."""
-    c = centroids(p, dim)
-    mid = c.groupBy(*KEYS).agg(F.array(*(F.avg(C("mu")[i]) for i in range(dim))).alias("mid"), F.max("n").alias("top"))
-    beta = c.join(mid, KEYS).groupBy(*KEYS).agg(F.avg(sq_dist_of_few(C("mu"), C("mid"))).alias("beta"), F.max("top").alias("top"))
-    near = centroid_pairs(c, dim).select(*KEYS, F.explode(F.array("li", "lj")).alias("label"), "d2").groupBy(*KEYS, "label").agg(F.min("d2").alias("d2"))
-    return c.join(near, [*KEYS, "label"]).join(beta, KEYS).groupBy(*KEYS).agg(F.sum(C("n") / C("top") - F.exp(-ratio(C("d2"), C("beta")))).alias("value"))
+    s = cluster_stats(p, dim).select(*KEYS, "label", "mu", "n", (C("sd") / C("n")).alias("cohesion"))
+    q = with_centroid_list(p.select(*KEYS, "row_id", "label", "x"), s, ("cohesion",))
+    other = F.filter("cs", lambda c: c["label"] != C("label"))
+    near = q.select(*KEYS, F.filter("cs", lambda c: c["label"] == C("label"))[0]["cohesion"].alias("a"), F.array_min(F.transform(other, lambda c: dist(C("x"), c["mu"], dim))).alias("b"))
+    one = ratio(C("b") - C("a"), F.greatest("b", "a"))
+    return near.groupBy(*KEYS).agg(F.when(F.count("b") == 0, F.lit(0.0)).otherwise(F.avg(one)).alias("value"))
 
 
 def score_function(p: DataFrame, dim: int) -> DataFrame:
@@ -174,6 +203,7 @@ def overlap_ratio(p: DataFrame, dim: int, slack: float = 1.2) -> DataFrame:
 
 #: name -> (plan, whether higher is better)
 LINEAR: dict[str, tuple[Callable[[DataFrame, int], DataFrame], bool]] = {
-    "ch": (calinski_harabasz, True), "db": (davies_bouldin, False), "np_silhouette": (np_silhouette, True), "csil": (centroid_silhouette, True), "i_index": (i_index, True),
-    "sse": (sse, False), "rs": (r_squared, True), "bh": (ball_hall, False), "wb": (wb, False), "xb": (xie_beni, False), "xb_star": (xie_beni_star, False), "gd43": (gd43, True), "gd53": (gd53, True), "h": (hartigan, False), "ps": (partition_separation, True), "sf": (score_function, True), "rcip": (cross_information_potential, False),
+    **{name: (_from_base(name), name in ("ch", "rs", "gd43", "gd53", "csil")) for name in FROM_BASE},
+    "db": (davies_bouldin, False), "np_silhouette": (np_silhouette, True), "i_index": (i_index, True), "ps": (partition_separation, True), "sf": (score_function, True),
+    "rcip": (cross_information_potential, False),
 }

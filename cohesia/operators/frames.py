@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohesia.operators.attach import attach
+
 KEYS = ["dataset", "labelset"]
 
 
@@ -32,7 +34,7 @@ def _codes(p: DataFrame, column: str) -> DataFrame:
 def reencode(p: DataFrame, column: str = "label") -> DataFrame:
     """Labels become 0 to k - 1 in order of their values (numbers or strings)."""
     codes = _codes(p, column).withColumnRenamed("v", column)
-    return p.join(codes, [*KEYS, column]).select(*(c for c in p.columns if c not in (column, "label")), F.col("code").cast("int").alias("label"))
+    return attach(p, codes, [*KEYS, column]).select(*(c for c in p.columns if c not in (column, "label")), F.col("code").cast("int").alias("label"))
 
 
 def _extremes(p: DataFrame, dim: int, keys: list[str]) -> DataFrame:
@@ -44,13 +46,13 @@ def minmax_scale(p: DataFrame, dim: int, low: float = -1.0, high: float = 1.0) -
     box = _extremes(p, dim, KEYS)
     span = lambda i: F.when(F.col("hi")[i] == F.col("lo")[i], F.lit(1.0)).otherwise(F.col("hi")[i] - F.col("lo")[i])
     scaled = F.array(*((F.col("x")[i] - F.col("lo")[i]) / span(i) * (high - low) + low for i in range(dim)))
-    return p.join(box, KEYS).select(*KEYS, "row_id", scaled.alias("x"), "label")
+    return attach(p, box, KEYS, 2 * dim).select(*KEYS, "row_id", scaled.alias("x"), "label")
 
 
 def singletons_to_noise(p: DataFrame, noise: int = -1) -> DataFrame:
     """Members of clusters of one point get the noise label."""
     sizes = p.groupBy(*KEYS, "label").agg(F.count(F.lit(1)).alias("size"))
-    return p.join(sizes, [*KEYS, "label"]).select(*KEYS, "row_id", "x", F.when(F.col("size") == 1, noise).otherwise(F.col("label")).cast("int").alias("label"))
+    return attach(p, sizes, [*KEYS, "label"]).select(*KEYS, "row_id", "x", F.when(F.col("size") == 1, noise).otherwise(F.col("label")).cast("int").alias("label"))
 
 
 def drop_noise(p: DataFrame, noise: int = -1) -> DataFrame:
@@ -60,7 +62,7 @@ def drop_noise(p: DataFrame, noise: int = -1) -> DataFrame:
 def comb_noise(p: DataFrame, noise: int = -1) -> DataFrame:
     """Noise becomes one more cluster."""
     top = p.groupBy(*KEYS).agg(F.max("label").alias("top"))
-    return p.join(top, KEYS).select(*KEYS, "row_id", "x", F.when(F.col("label") == noise, F.col("top") + 1).otherwise(F.col("label")).cast("int").alias("label"))
+    return attach(p, top, KEYS).select(*KEYS, "row_id", "x", F.when(F.col("label") == noise, F.col("top") + 1).otherwise(F.col("label")).cast("int").alias("label"))
 
 
 def collapse_labels(p: DataFrame, above: int = 3) -> DataFrame:
@@ -110,7 +112,7 @@ def midpoint_label_sets(p: DataFrame) -> DataFrame:
     box = _extremes(p, 2, ["dataset"])
     above = lambda i: (F.col("x")[i] > (F.col("lo")[i] + F.col("hi")[i]) / 2).cast("int")
     both = F.array(F.struct(F.lit("hl").alias("labelset"), above(1).alias("label")), F.struct(F.lit("vl").alias("labelset"), above(0).alias("label")))
-    return p.select("dataset", "row_id", "x").join(box, "dataset").select("dataset", "row_id", "x", F.explode(both).alias("s")).select("dataset", "s.labelset", "row_id", "x", "s.label")
+    return attach(p.select("dataset", "row_id", "x"), box, ["dataset"]).select("dataset", "row_id", "x", F.explode(both).alias("s")).select("dataset", "s.labelset", "row_id", "x", "s.label")
 
 
 def random_labels(p: DataFrame, k: int, seed: int = 42) -> DataFrame:

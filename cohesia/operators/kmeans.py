@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohesia.functions.vectors import sq_dist
+from cohesia.operators.attach import attach
 from cohesia.operators.frames import KEYS
 from cohesia.operators.stats import centroids
 from cohesia.session import Scratch
@@ -23,7 +24,7 @@ def assign(p: DataFrame, centres: DataFrame, dim: int) -> DataFrame:
     """
     lists = centres.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("label", "mu"))).alias("cs"))
     near = F.array_min(F.transform("cs", lambda c: F.struct(sq_dist(C("x"), c["mu"], dim).alias("d2"), c["label"].alias("label"))))
-    return p.select(*KEYS, "row_id", "x").join(lists, KEYS).withColumn("near", near).select(*KEYS, "row_id", "x", C("near.label").cast("int").alias("label"), C("near.d2").alias("d2"))
+    return attach(p.select(*KEYS, "row_id", "x"), lists, KEYS, F.size("cs") * (dim + 4)).withColumn("near", near).select(*KEYS, "row_id", "x", C("near.label").cast("int").alias("label"), C("near.d2").alias("d2"))
 
 
 def first_rows(p: DataFrame, k: int) -> DataFrame:

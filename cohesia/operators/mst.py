@@ -105,19 +105,21 @@ def boruvka(p: DataFrame) -> DataFrame:
     tree = None
     while True:
 
-        def work(a, b):
+        def work(a, others):
+            # the least edge out of each component that has points in the block; of equal ones that of the smaller ids
             ids, own, xs, _ = a
-            jds, others, ys, _ = b
-            d = np.where(own[:, None] == others[None, :], np.inf, distances(xs, ys))
-            out = []
-            for i in range(len(ids)):
-                low = d[i].min()
-                if np.isfinite(low):
-                    near = jds[d[i] == low]
+            out: dict[int, tuple[float, int, int]] = {}
+            for (jds, theirs, ys, _), _ in others:
+                d = np.where(own[:, None] == theirs[None, :], np.inf, distances(xs, ys))
+                low = d.min(axis=1)
+                for i in np.flatnonzero(np.isfinite(low)):
+                    near = jds[d[i] == low[i]]
                     lo, hi = np.minimum(near, ids[i]), np.maximum(near, ids[i])
                     k = np.lexsort((hi, lo))[0]
-                    out.append((int(own[i]), float(low), int(lo[k]), int(hi[k])))
-            return out
+                    edge = (float(low[i]), int(lo[k]), int(hi[k]))
+                    if edge < out.get(int(own[i]), (np.inf, 0, 0)):
+                        out[int(own[i])] = edge
+            return [np.array(list(out), dtype=np.int64), *(np.array(c) for c in zip(*out.values(), strict=True))] if out else [np.zeros(0)] * 4
 
         made = blocks(nodes)
         parts = block_pairs(made, made, work, "dataset string, labelset string, comp long, w double, u long, v long")

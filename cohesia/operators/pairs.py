@@ -1,10 +1,11 @@
 """All-pairs work in blocks, without any pair ever leaving the task that made it.
 
-Points are dealt into blocks of ``BLOCK`` rows, held as one binary matrix each. Every
-pair of blocks is one small row for one task, which works it out with array
-operations and hands on sums, minima and maxima only: by point and cluster
-(``pair_stats``) or by histogram bin (``pair_histogram``). Memory is that of two blocks; results grow
-with points x clusters.
+Points are dealt into blocks of ``BLOCK`` rows. The square of all pairs of blocks is cut into a grid of about as many
+cells as there are cores (more where a cell would hold over ``HELD`` blocks); a block is sent once for each cell of its row
+and of its column, so what is shuffled grows with points x the square root of the tasks. A cell holds the blocks of
+its column as matrices and takes those of its row one by one; it hands on sums, minima and maxima only,
+added up over its column: by point and cluster (``pair_stats``) or by histogram bin (``pair_histogram``). Results grow with
+points x clusters x the grid's side.
 """
 
 from __future__ import annotations
@@ -18,27 +19,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from cohesia.operators.attach import attach
 from cohesia.operators.frames import KEYS
 from cohesia.session import ship
 
 BLOCK = 1024
+#: Blocks of a column that a cell holds at most.
+HELD = 64
+#: (row ids, labels, matrix of points, extra), and its number.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def blocks(p: DataFrame, extra: str | None = None) -> DataFrame:
-    """Points of each key in blocks: rows (keys, block, ids, labels, xs, extra), block by a hash of row_id.
+    """Points of each key in blocks: rows (keys, block, many, rows), block by a hash of row_id, many their number.
 
     extra: one more column of doubles to carry along.
     """
-    sizes = p.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("size"))
-    many = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("long")
-    dealt = p.join(sizes, KEYS).withColumn("block", F.pmod(F.xxhash64("row_id"), many))
+    sizes = p.groupBy(*KEYS).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("long").alias("many"))
+    dealt = attach(p, sizes, KEYS).withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("many")))
     more = F.col(extra).cast("double") if extra else F.lit(0.0)
     rows = F.sort_array(F.collect_list(F.struct("row_id", "label", "x", more.alias("extra"))))  # about BLOCK rows
-    return dealt.groupBy(*KEYS, "block").agg(rows.alias("rows"))
+    return dealt.groupBy(*KEYS, "block", "many").agg(rows.alias("rows"))
 
 
-def unpack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return np.array([r["row_id"] for r in rows], dtype=np.int64), np.array([r["label"] for r in rows], dtype=np.int64), np.array([r["x"] for r in rows], dtype=float), np.array([r["extra"] for r in rows], dtype=float)
+def unpack(rows: pa.StructArray) -> Block:
+    ids, labels, xs, extra = rows.flatten()
+    numbers = [c.to_numpy(zero_copy_only=False) for c in (ids, labels, extra)]
+    return numbers[0].astype(np.int64), numbers[1].astype(np.int64), xs.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1), numbers[2].astype(float)
 
 
 def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndarray:
@@ -60,28 +67,49 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.nda
     return np.sqrt(out) if metric == "euclidean" else out
 
 
-def block_pairs(left: DataFrame, right: DataFrame, work: Callable[[tuple, tuple], list[tuple]], schema: str, ordered: bool = True) -> DataFrame:
-    """work(left block, right block) for every pair of blocks of the same keys; ordered: both (a, b) and (b, a).
+def block_pairs(left: DataFrame, right: DataFrame, work: Callable[[Block, list[tuple[Block, bool]]], list[np.ndarray | pa.Array]], schema: str, ordered: bool = True) -> DataFrame:
+    """work(left block, right blocks of a cell) for every cell, all blocks of one cell being of the same keys.
 
-    A block is (ids, labels, xs, extra). The pairs of blocks are spread over the tasks by their numbers.
+    Each right block comes with whether it is the left one itself. ordered: pairs are met as (a, b) and as (b, a); else once, and a
+    block with itself. ``work`` returns the columns of ``schema`` after the keys.
     """
     ship(left.sparkSession)
-    b = right.select(*KEYS, F.col("block").alias("other"), F.col("rows").alias("others"))
-    pairs = left.join(b, KEYS)
-    pairs = pairs if ordered else pairs.where("block <= other")
-    dealt = pairs.repartition(*KEYS, "block", "other")
+    side = int(np.ceil(np.sqrt(2 * left.sparkSession.sparkContext.defaultParallelism)))
+    most = right.groupBy(*KEYS).agg(F.max("many").alias("of_right"))
+    grid = F.greatest(F.least(F.lit(side), F.greatest("many", "of_right")), F.ceil(F.col("of_right") / HELD)).cast("int")
+    with_grid = lambda df: attach(df.withColumn("row_id", F.col("block")), most, KEYS).withColumn("grid", grid).withColumn("own", F.pmod("block", "grid").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("grid") - 1))
+    # a cell (i, j) has the left blocks of group i and the right blocks of group j
+    rows = with_grid(left).withColumn("j", every).select(*KEYS, F.col("own").alias("i"), "j", F.lit(1).alias("turn"), "block", "rows")
+    columns = with_grid(right).withColumn("i", every).select(*KEYS, "i", F.col("own").alias("j"), F.lit(0).alias("turn"), "block", "rows")
+    cells = rows.unionByName(columns)
+    cells = cells if ordered else cells.where("i <= j")
+    cell = [*KEYS, "i", "j"]
+    dealt = cells.repartition(*cell).sortWithinPartitions(*cell, "turn", "block")
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in (*KEYS, "block", "other", "rows", "others")}
-                out = work(unpack(row["rows"]), unpack(row["others"])) if ordered else work(unpack(row["rows"]), unpack(row["others"]), row["block"] == row["other"])
-                keyed = [(row["dataset"], row["labelset"], *o) for o in out]
-                if keyed:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*keyed, strict=True), arrow, strict=True)], schema=arrow)
-
-    return dealt.select(*KEYS, "block", "other", "rows", "others").mapInArrow(run, schema)
+            keys = list(zip(*(batch.column(c).to_pylist() for c in cell), strict=True))
+            for k, (turn, number) in enumerate(zip(batch.column("turn").to_pylist(), batch.column("block").to_pylist(), strict=True)):
+                if keys[k] != at:
+                    at, held = keys[k], []
+                block = unpack(batch.column("rows")[k].values)
+                if turn == 0:
+                    held.append((number, block))
+                    continue
+                i, j = at[-2:]
+                others = [(b, n == number) for n, b in held if ordered or i < j or n >= number]
+                if not others:
+                    continue
+                out = work(block, others)
+                if len(out[0]):
+                    keyed = [pa.array([v] * len(out[0]), type=f.type) for v, f in zip(at[: len(KEYS)], arrow, strict=False)]
+                    made = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(out, list(arrow)[len(KEYS) :], strict=True)]
+                    yield pa.RecordBatch.from_arrays([*keyed, *made], schema=arrow)
+
+    return dealt.mapInArrow(run, schema)
 
 
 def pair_stats(p: DataFrame, metric: str = "euclidean", bandwidth: float | None = None) -> DataFrame:
@@ -90,27 +118,43 @@ def pair_stats(p: DataFrame, metric: str = "euclidean", bandwidth: float | None
     kernel: sum of exp(-d^2 / (2 bandwidth^2)), the point itself included; 0 without a bandwidth.
     """
 
-    def work(a, b):
-        ids, labels, xs, _ = a
-        jds, jlabels, ys, _ = b
-        d = distances(xs, ys, metric)
-        self_pair = ids[:, None] == jds[None, :]
-        kernel = np.exp(-(distances(xs, ys, "sqeuclidean")) / (2 * bandwidth * bandwidth)) if bandwidth else np.zeros((0, 0))
-        out = []
-        for label in np.unique(jlabels):
-            at = jlabels == label
-            part, own = d[:, at], self_pair[:, at]
-            n = (~own).sum(axis=1)
-            low, high = np.where(own, np.inf, part).min(axis=1), np.where(own, -np.inf, part).max(axis=1)
-            sums = np.where(own, 0.0, part).sum(axis=1)
-            dens = kernel[:, at].sum(axis=1) if bandwidth else np.zeros(len(ids))
-            has = (n > 0) | (dens > 0)
-            out += [(int(i), int(o), int(label), int(m), float(s), float(lo) if m else None, float(hi) if m else None, float(e)) for i, o, m, s, lo, hi, e, h in zip(ids, labels, n, sums, low, high, dens, has, strict=True) if h]
-        return out
+    def work(a, others):
+        ids, own_labels, xs, _ = a
+        labels = np.unique(np.concatenate([b[1] for b, _ in others]))
+        shape = (len(ids), len(labels))
+        n, sums, kernel = np.zeros(shape, dtype=np.int64), np.zeros(shape), np.zeros(shape)
+        low, high = np.full(shape, np.inf), np.full(shape, -np.inf)
+        for (jds, jlabels, ys, _), same in others:
+            d = distances(xs, ys, metric)
+            if bandwidth:
+                near = np.exp((d * d if metric == "euclidean" else distances(xs, ys, "sqeuclidean")) / (-2 * bandwidth * bandwidth))
+            own = ids[:, None] == jds[None, :] if same else None
+            by = np.argsort(jlabels, kind="stable")
+            heads = np.flatnonzero(np.r_[True, np.diff(jlabels[by]) != 0])
+            at = np.searchsorted(labels, jlabels[by][heads])
+            part = d[:, by]
+            if bandwidth:
+                kernel[:, at] += np.add.reduceat(near[:, by], heads, axis=1)
+            count = np.broadcast_to(np.diff(np.r_[heads, len(by)]), (len(ids), len(heads)))
+            if same:
+                mine = own[:, by]
+                count = count - np.add.reduceat(mine, heads, axis=1, dtype=np.int64)
+                sums[:, at] += np.add.reduceat(np.where(mine, 0.0, part), heads, axis=1)
+                low[:, at] = np.minimum(low[:, at], np.minimum.reduceat(np.where(mine, np.inf, part), heads, axis=1))
+                high[:, at] = np.maximum(high[:, at], np.maximum.reduceat(np.where(mine, -np.inf, part), heads, axis=1))
+            else:
+                sums[:, at] += np.add.reduceat(part, heads, axis=1)
+                low[:, at] = np.minimum(low[:, at], np.minimum.reduceat(part, heads, axis=1))
+                high[:, at] = np.maximum(high[:, at], np.maximum.reduceat(part, heads, axis=1))
+            n[:, at] += count
+        i, k = np.nonzero((n > 0) | (kernel > 0))
+        none = n[i, k] == 0
+        return [ids[i], own_labels[i].astype(np.int32), labels[k].astype(np.int32), n[i, k], sums[i, k], pa.array(low[i, k], mask=none), pa.array(high[i, k], mask=none), kernel[i, k]]
 
     made = blocks(p)
     parts = block_pairs(made, made, work, "dataset string, labelset string, row_id long, label int, other int, n long, sum_d double, min_d double, max_d double, kernel double")
-    return parts.groupBy(*KEYS, "row_id", "label", "other").agg(*(f.alias(c) for f, c in ((F.sum("n"), "n"), (F.sum("sum_d"), "sum_d"), (F.min("min_d"), "min_d"), (F.max("max_d"), "max_d"), (F.sum("kernel"), "kernel"))))
+    whole = ((F.sum("n"), "n"), (F.sum("sum_d"), "sum_d"), (F.min("min_d"), "min_d"), (F.max("max_d"), "max_d"), (F.sum("kernel"), "kernel"))
+    return parts.groupBy(*KEYS, "row_id", "label", "other").agg(*(f.alias(c) for f, c in whole))
 
 
 #: Distance bins of one refinement of a sum over the smallest or largest pairs.
@@ -120,12 +164,16 @@ BINS = 4096
 def pair_histogram(made: DataFrame, low: float, high: float, metric: str = "euclidean") -> DataFrame:
     """(keys, bin, n, s): number and sum of unordered pair distances by equal bins from low to high; those below and above in bins -1 and BINS."""
 
-    def work(a, b, same):
-        d = distances(a[2], b[2], metric)
-        d = d[np.triu_indices(len(d), 1)] if same else d.ravel()
-        at = np.clip(np.floor((d - low) / (high - low) * BINS), -1, BINS).astype(int) if high > low else np.zeros(len(d), int)
-        n, s = np.bincount(at + 1, minlength=BINS + 2), np.bincount(at + 1, d, minlength=BINS + 2)
-        return [(int(k) - 1, int(n[k]), float(s[k])) for k in np.flatnonzero(n)]
+    def work(a, others):
+        n, s = np.zeros(BINS + 2, dtype=np.int64), np.zeros(BINS + 2)
+        for b, same in others:
+            d = distances(a[2], b[2], metric)
+            d = d[np.triu_indices(len(d), 1)] if same else d.ravel()
+            at = np.clip(np.floor((d - low) / (high - low) * BINS), -1, BINS).astype(int) if high > low else np.zeros(len(d), int)
+            n += np.bincount(at + 1, minlength=BINS + 2)
+            s += np.bincount(at + 1, d, minlength=BINS + 2)
+        has = np.flatnonzero(n)
+        return [(has - 1).astype(np.int32), n[has], s[has]]
 
     parts = block_pairs(made, made, work, "dataset string, labelset string, bin int, n long, s double", ordered=False)
     return parts.groupBy(*KEYS, "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
@@ -134,14 +182,42 @@ def pair_histogram(made: DataFrame, low: float, high: float, metric: str = "eucl
 def nearest_reflected(p: DataFrame, q: DataFrame, k: int = 2, metric: str = "euclidean") -> DataFrame:
     """(keys, row_id, label, mean_k): mean distance of q's points to their k nearest in p's same cluster (a point of its own cluster may be itself)."""
 
-    def work(a, b):
+    def work(a, others):
         ids, labels, xs, _ = a
-        _, jlabels, ys, _ = b
-        d = np.where(labels[:, None] == jlabels[None, :], distances(xs, ys, metric), np.inf)
-        near = np.sort(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k], axis=1)
-        return [(int(i), int(o), [float(v) for v in row if np.isfinite(v)]) for i, o, row in zip(ids, labels, near, strict=True)]
+        best = np.full((len(ids), k), np.inf)
+        for (_, jlabels, ys, _), _ in others:
+            d = np.where(labels[:, None] == jlabels[None, :], distances(xs, ys, metric), np.inf)
+            best = np.sort(np.concatenate([best, d], axis=1), axis=1)[:, :k] if d.shape[1] <= 4 * k else np.sort(np.concatenate([best, np.partition(d, k - 1, axis=1)[:, :k]], axis=1), axis=1)[:, :k]
+        return [ids, labels.astype(np.int32), pa.array([row[np.isfinite(row)].tolist() for row in best], type=pa.list_(pa.float64()))]
 
     parts = block_pairs(blocks(q), blocks(p), work, "dataset string, labelset string, row_id long, label int, near array<double>")
     merged = parts.groupBy(*KEYS, "row_id", "label").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))  # k values a block
     mean = F.when(F.size("near") == k, F.aggregate("near", F.lit(0.0), lambda s, v: s + v) / k)
     return merged.select(*KEYS, "row_id", "label", mean.alias("mean_k"))
+
+
+def nearest_labelled(q: DataFrame, p: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """(keys, row_id, label): for each point of q the label of the nearest point of p of the same keys, that of the lowest row_id on a tie."""
+
+    def work(a, others):
+        ids, _, xs, _ = a
+        near, who, label = np.full(len(ids), np.inf), np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int32)
+        for (jds, jlabels, ys, _), _ in others:
+            by = np.argsort(jds)
+            d = distances(xs, ys[by], metric)
+            at = d.argmin(axis=1)
+            least, j = d[np.arange(len(ids)), at], jds[by][at]
+            closer = (least < near) | (least == near) & (j < who)
+            near, who, label = np.where(closer, least, near), np.where(closer, j, who), np.where(closer, jlabels[by][at], label).astype(np.int32)
+        return [ids, near, who, label]
+
+    parts = block_pairs(blocks(q), blocks(p), work, "dataset string, labelset string, row_id long, d double, who long, label int")
+    return parts.groupBy(*KEYS, "row_id").agg(F.min(F.struct("d", "who", "label")).alias("m")).select(*KEYS, "row_id", F.col("m.label").alias("label"))
+
+
+def bind_noise(p: DataFrame, noise: int = -1) -> DataFrame:
+    """Each noise point gets the label of its nearest point that is no noise; a data set of nothing but noise stays as it is."""
+    lost, rest = p.where(F.col("label") == noise), p.where(F.col("label") != noise)
+    found = nearest_labelled(lost, rest).select(*KEYS, "row_id", F.col("label").alias("bound"))
+    bound = lost.join(found, [*KEYS, "row_id"], "left").select(*KEYS, "row_id", "x", F.coalesce("bound", "label").cast("int").alias("label"))
+    return rest.select(*KEYS, "row_id", "x", "label").unionByName(bound)

@@ -5,27 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohesia.functions.vectors import dist, sq_dist, sq_dist_of_few
+from cohesia.functions.vectors import dist, sq_dist, sq_dist_of_few, total
+from cohesia.operators.attach import attach
 from cohesia.operators.frames import KEYS
+from cohesia.session import Scratch
 
 
 def centroids(p: DataFrame, dim: int) -> DataFrame:
-    """(keys, label, n, mu): means by coordinate, all partial aggregations."""
-    return p.groupBy(*KEYS, "label").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(F.col("x")[i]) for i in range(dim))).alias("mu"))
+    """(keys, label, n, mu, ssw): means by coordinate and the sum of squared distances to them, in one scan of partial aggregations."""
+    spread = total([F.var_pop(F.col("x")[i]) for i in range(dim)])
+    return p.groupBy(*KEYS, "label").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(F.col("x")[i]) for i in range(dim))).alias("mu"), (spread * F.count(F.lit(1))).alias("ssw"))
 
 
-def centre(c: DataFrame, dim: int) -> DataFrame:
-    """(keys, big_n, k, mu_all) from centroids."""
-    return c.groupBy(*KEYS).agg(F.sum("n").alias("big_n"), F.count(F.lit(1)).alias("k"), F.array(*(F.sum(F.col("mu")[i] * F.col("n")) / F.sum("n") for i in range(dim))).alias("mu_all"))
+def cluster_lists(c: DataFrame, dim: int) -> DataFrame:
+    """(keys, cs, big_n, k, mu_all): the clusters of each data set as one array of (label, n, mu, ssw), and its centre."""
+    middle = F.array(*(F.sum(F.col("mu")[i] * F.col("n")) / F.sum("n") for i in range(dim)))
+    cs = F.sort_array(F.collect_list(F.struct("label", "n", "mu", "ssw")))
+    return c.groupBy(*KEYS).agg(cs.alias("cs"), F.sum("n").alias("big_n"), F.count(F.lit(1)).alias("k"), middle.alias("mu_all"))
 
 
 def cluster_stats(p: DataFrame, dim: int, metric: str = "euclidean") -> DataFrame:
-    """(keys, label, n, mu, big_n, k, mu_all, ssw, sd, sd_all): sums of squared and plain distances to the centroid, and to the centre."""
-    c = centroids(p, dim)
-    about = c.join(centre(c, dim), KEYS)
-    joined = p.select(*KEYS, "label", "x").join(about.select(*KEYS, "label", "mu", "mu_all"), [*KEYS, "label"]).withColumn("d2", sq_dist(F.col("x"), F.col("mu"), dim))
-    d = F.sqrt("d2") if metric == "euclidean" else dist(F.col("x"), F.col("mu"), dim, metric)
-    sums = joined.groupBy(*KEYS, "label").agg(F.sum("d2").alias("ssw"), F.sum(d).alias("sd"), F.sum(dist(F.col("x"), F.col("mu_all"), dim, metric)).alias("sd_all"))
+    """(keys, label, n, mu, big_n, k, mu_all, ssw, sd, sd_all): sums of squared and plain distances to the centroid, and to the centre.
+
+    Two scans of the points: one for the centroids, one for the distances.
+    """
+    scratch = Scratch(p.sparkSession)
+    about = scratch.keep(cluster_lists(centroids(p, dim), dim).select(*KEYS, "big_n", "k", "mu_all", F.explode("cs").alias("c")).select(*KEYS, "c.*", "big_n", "k", "mu_all"))
+    joined = attach(p.select(*KEYS, "row_id", "label", "x"), about.select(*KEYS, "label", "mu", "mu_all"), [*KEYS, "label"], 2 * dim)
+    d, d_all = (dist(F.col("x"), F.col(to), dim, metric) for to in ("mu", "mu_all"))
+    sums = joined.groupBy(*KEYS, "label").agg(F.sum(d).alias("sd"), F.sum(d_all).alias("sd_all"))
     return about.join(sums, [*KEYS, "label"])
 
 
@@ -41,8 +49,8 @@ def medoids(p: DataFrame, dim: int) -> DataFrame:
     The sum of squared distances to all members is n times the squared distance to the mean plus a constant, so the nearest
     point to the mean is the medoid: linear, not quadratic. Rounding keeps exact ties (two-point clusters) ties.
     """
-    c = centroids(p, dim)
-    near = p.join(c.select(*KEYS, "label", "mu"), [*KEYS, "label"]).withColumn("d", F.round(sq_dist(F.col("x"), F.col("mu"), dim), 12))
+    c = centroids(p, dim).select(*KEYS, "label", "mu")
+    near = attach(p, c, [*KEYS, "label"], dim).withColumn("d", F.round(sq_dist(F.col("x"), F.col("mu"), dim), 12))
     return near.groupBy(*KEYS, "label").agg(F.min(F.struct("d", "row_id", "x")).alias("m")).select(*KEYS, "label", F.col("m.row_id").alias("medoid_id"), F.col("m.x").alias("medoid"))
 
 
@@ -51,21 +59,25 @@ def overall_medoid(p: DataFrame, dim: int) -> DataFrame:
     return medoids(p.withColumn("label", F.lit(0)), dim).drop("label")
 
 
-def with_centroid_list(p: DataFrame, c: DataFrame) -> DataFrame:
-    """Points with the centroids of their keys as one array: each point is compared where it is, nothing is exploded.
+def with_centroid_list(p: DataFrame, c: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Points with the centroids of their keys (and extra columns of c) as one array: each point is compared where it is, nothing is exploded.
 
     The array holds one entry a cluster; it is the only thing joined to the points.
     """
-    lists = c.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("label", "mu", "n"))).alias("cs"))
-    return p.join(lists, KEYS)
+    lists = c.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("label", "mu", "n", *extra))).alias("cs"))
+    return attach(p, lists, KEYS, F.size("cs") * (F.size(F.col("cs")[0]["mu"]) + 4))
 
 
 def centroid_pairs(s: DataFrame, dim: int, extra: tuple[str, ...] = (), metric: str = "euclidean") -> DataFrame:
-    """Unordered pairs of clusters of the same keys: (keys, li, lj, d2, dc, and extra columns with _i and _j)."""
-    a = s.select(*KEYS, F.col("label").alias("li"), F.col("mu").alias("mu_i"), *(F.col(c).alias(f"{c}_i") for c in extra))
-    b = s.select(*KEYS, F.col("label").alias("lj"), F.col("mu").alias("mu_j"), *(F.col(c).alias(f"{c}_j") for c in extra))
-    joined = a.join(b, KEYS).where("li < lj")
-    far = joined.withColumn("d2", sq_dist_of_few(F.col("mu_i"), F.col("mu_j")))
+    """Unordered pairs of clusters of the same keys: (keys, li, lj, d2, dc, and extra columns with _i and _j).
+
+    The clusters of a key are gathered once and paired there, so ``s`` is worked out once.
+    """
+    listed = s.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("label", "mu", *extra))).alias("cs"))
+    first = listed.select(*KEYS, "cs", F.explode("cs").alias("i"))
+    both = first.select(*KEYS, "i", F.explode(F.filter("cs", lambda c: c["label"] > F.col("i.label"))).alias("j"))
+    named = both.select(*KEYS, F.col("i.label").alias("li"), F.col("j.label").alias("lj"), F.col("i.mu").alias("mu_i"), F.col("j.mu").alias("mu_j"), *(F.col(f"{e}.{c}").alias(f"{c}_{e}") for c in extra for e in ("i", "j")))
+    far = named.withColumn("d2", sq_dist_of_few(F.col("mu_i"), F.col("mu_j")))
     return far.withColumn("dc", F.sqrt("d2") if metric == "euclidean" else dist(F.col("mu_i"), F.col("mu_j"), dim, metric))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohesia.functions import external
-from cohesia.functions.internal import imbalance_ratio, overlap_ratio
+from cohesia.functions.internal import FROM_BASE, imbalance_ratio, many_from_base, overlap_ratio
 from cohesia.functions.pairwise import silhouette
 from cohesia.operators import frames
 from cohesia.operators.frames import KEYS
@@ -24,9 +24,13 @@ C = F.col
 
 
 def score_table(p: DataFrame, dim: int, metrics: Sequence[str]) -> DataFrame:
-    """(dataset, labelset, metric, higher, value): one plan a metric scores all data sets and label sets."""
+    """(dataset, labelset, metric, higher, value): one plan a metric scores all data sets and label sets; metrics of cluster moments share one scan."""
     parts = []
-    for name in metrics:
+    shared = [name for name in metrics if name in FROM_BASE]
+    if shared:
+        way = F.create_map(*(F.lit(x) for name in shared for x in (name, metric(name)[1])))
+        parts.append(many_from_base(p, dim, shared).select(*KEYS, "metric", way[C("metric")].alias("higher"), "value"))
+    for name in (name for name in metrics if name not in FROM_BASE):
         plan, higher = metric(name)
         parts.append(plan(p, dim).select(*KEYS, F.lit(name).alias("metric"), F.lit(higher).alias("higher"), C("value").cast("double").alias("value")))
     return reduce(DataFrame.unionByName, parts)
