@@ -155,15 +155,11 @@ def _may_reach(a: str, b: str) -> Column:
 
 
 class _Verifier:
-    """Compares whole sets. The sets of all texts that meet others are written once; pairs are joined to them."""
+    """Compares whole sets. The texts of all sets that meet others are written once, which is half the size of the sets; pairs are joined to them."""
 
     def __init__(self, keyed: DataFrame, groups: DataFrame, ids: DataFrame, scratch: Scratch) -> None:
-        def of_text():
-            return lambda batch: {"rid": batch.column("rid"), "s": [shingles(t).tobytes() for t in batch.column("text").to_pylist()]}
-
         wanted = groups.join(ids.hint("shuffle_hash"), "rid", "left_semi").select("rid", "first.r1", "first.r2")
-        texts = keyed.select("r1", "r2", "text").join(wanted.hint("shuffle_hash"), ["r1", "r2"]).select("rid", "r1", "r2", "text")
-        self.sets = scratch.keep(map_batches(texts.select("rid", "text"), of_text, "rid long, s binary"))
+        self.texts = scratch.keep(keyed.select("r1", "r2", "text").join(wanted.hint("shuffle_hash"), ["r1", "r2"]).select("rid", "text"))
         self.scratch = scratch
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
@@ -171,15 +167,22 @@ class _Verifier:
 
         def compare():
             def step(batch):
-                rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "sa", "sb")), strict=True)
-                good = [(a, b) for a, b, x, y in rows if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))]
+                rows = list(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True))
+                known: dict[int, np.ndarray] = {}  # many pairs of a slice have one side in common
+
+                def of(rid: int, text: str) -> np.ndarray:
+                    if rid not in known:
+                        known[rid] = shingles(text)
+                    return known[rid]
+
+                good = [(a, b) for a, b, x, y in rows if similar(of(a, x), of(b, y))]
                 return {"a": [a for a, _ in good], "b": [b for _, b in good]}
 
             return step
 
-        # a set may stand there more than once, where rows are repeated; pairs are made distinct afterwards
-        side = lambda c: self.sets.select(F.col("rid").alias(c), F.col("s").alias(f"s{c}"))
-        met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+        # a text may stand there more than once, where rows are repeated; pairs are made distinct afterwards
+        side = lambda c: self.texts.select(F.col("rid").alias(c), F.col("text").alias(f"t{c}"))
+        met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
         return self.scratch.keep(map_batches(met, compare, "a long, b long"))
 
 
@@ -214,6 +217,7 @@ def near_copies(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool
     # a shingle counts if several sets have it, one of them among the shingles that the smaller set is found by
     counts = dealt.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min(F.when(_is_short(F.col("n"), F.col("p")), F.struct("rid", "n"))).alias("pivot"))
     buckets = scratch.keep(dealt.join(counts.where("m > 1 and pivot is not null").select("s", "pivot"), "s"))
+    scratch.drop(rows)
 
     fits = (DEN * F.col("n") >= NUM * F.col("pivot.n")) & (DEN * F.col("pivot.n") >= NUM * F.col("n"))
     to_pivot = buckets.where(fits & (F.col("rid") != F.col("pivot.rid"))).select(F.col("rid").alias("a"), F.col("pivot.rid").alias("b"))
