@@ -75,6 +75,8 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/t{self._n}"
+        if self.tidy:  # the frames of the step before are out of reach by now, those of this one afterwards
+            self.spark.sparkContext._jvm.System.gc()
         df.write.mode("overwrite").parquet(path)
         if self.tidy:
             self.spark.sparkContext._jvm.System.gc()
