@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohesia.functions.vectors import dist, sq_dist_of_few
+from cohesia.operators.attach import attach
 from cohesia.operators.frames import KEYS
 from cohesia.operators.stats import centroid_pairs, centroids, cluster_lists, cluster_stats, covariances, with_centroid_list
 from cohesia.session import Scratch, ship
@@ -169,6 +170,50 @@ def score_function(p: DataFrame, dim: int) -> DataFrame:
     return s.groupBy(*KEYS).agg((1 - F.exp(-F.exp(between - F.sum(C("sd") / C("n"))))).alias("value"))
 
 
+def _scatter(p: DataFrame, dim: int) -> DataFrame:
+    """(keys, cs, k, scat, stdev): clusters as (label, mu), mean norm of their variances over that of all points, and the mean deviation."""
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    listed = centroids(p, dim).groupBy(*KEYS).agg(
+        F.sort_array(F.collect_list(F.struct("label", "mu"))).alias("cs"), F.count(F.lit(1)).alias("k"), F.sum(norm(C("var"))).alias("norms"), F.sum("n").alias("n"),
+        *(F.sum(C("mu")[i] * C("n")).alias(f"s{i}") for i in range(dim)), *(F.sum((C("var")[i] + C("mu")[i] * C("mu")[i]) * C("n")).alias(f"q{i}") for i in range(dim)),
+    )
+    whole = F.array(*(C(f"q{i}") / C("n") - (C(f"s{i}") / C("n")) * (C(f"s{i}") / C("n")) for i in range(dim)))
+    return listed.select(*KEYS, "cs", "k", (ratio(C("norms"), norm(whole)) / C("k")).alias("scat"), (F.sqrt("norms") / C("k")).alias("stdev"))
+
+
+def sd_validity(p: DataFrame, dim: int) -> DataFrame:
+    """Scatter of the clusters plus their separation (Dmax / Dmin) x the sum of 1 / (summed distances to the other centroids)."""
+    one = lambda a: ratio(1.0, _sum(_over_others(a, lambda b: F.sqrt(_d2(a, b)))))
+    d = _over_pairs(lambda a, b: F.sqrt(_d2(a, b)))
+    apart = ratio(F.array_max(d), F.array_min(d)) * _sum(_over_clusters(one))
+    return _scatter(p, dim).select(*KEYS, (C("scat") + apart).alias("value"))
+
+
+def s_dbw(p: DataFrame, dim: int) -> DataFrame:
+    """Scatter of the clusters plus the density between them: points of two clusters within the mean deviation of the middle of
+    their centroids, over the larger number about a centroid. Each point is compared with the middles of its own cluster's pairs."""
+    lists = Scratch(p.sparkSession).keep(_scatter(p, dim))
+    q = attach(p.select(*KEYS, "row_id", "label", "x"), lists.select(*KEYS, "cs", "stdev"), KEYS, F.size("cs") * (dim + 2))
+    own = F.filter("cs", lambda c: c["label"] == C("label"))[0]
+    middle = lambda c: F.zip_with(c["mu"], C("own.mu"), lambda a, b: (a + b) / 2)
+    near = F.filter("cs", lambda c: sq_dist_of_few(C("x"), middle(c)) <= C("stdev") * C("stdev"))
+    # a cluster's middle with itself is its centroid; a pair's middle is met from both sides
+    hits = q.withColumn("own", own).select(*KEYS, "label", F.explode(F.transform(near, lambda c: c["label"])).alias("other"))
+    counts = hits.groupBy(*KEYS, F.least("label", "other").alias("li"), F.greatest("label", "other").alias("lj")).agg(F.count(F.lit(1)).alias("c"))
+    about = _label_pairs(lists).join(counts, [*KEYS, "li", "lj"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    centre = about.where("li = lj").select(*KEYS, C("li").alias("l"), C("c").alias("at"))
+    between = about.where("li < lj").join(centre.select(*KEYS, C("l").alias("li"), C("at").alias("ci")), [*KEYS, "li"]).join(centre.select(*KEYS, C("l").alias("lj"), C("at").alias("cj")), [*KEYS, "lj"])
+    dense = between.groupBy(*KEYS).agg(F.sum(F.when(F.greatest("ci", "cj") > 0, C("c") / F.greatest("ci", "cj"))).alias("d"), F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.greatest("ci", "cj") > 0, 1)).alias("known"))
+    value = F.when(C("known") == C("pairs"), C("scat") + C("d") / C("pairs"))
+    return lists.join(dense, KEYS, "left").select(*KEYS, value.alias("value"))
+
+
+def _label_pairs(lists: DataFrame) -> DataFrame:
+    """(keys, li, lj) for li <= lj of each key."""
+    first = lists.select(*KEYS, "cs", F.explode("cs.label").alias("li"))
+    return first.select(*KEYS, "li", F.explode(F.filter(C("cs.label"), lambda x: x >= C("li"))).alias("lj"))
+
+
 def cross_information_potential(p: DataFrame, dim: int) -> DataFrame:
     """Sum over pairs of clusters of a Gaussian of the centroid difference under the summed sample covariances."""
     ship(p.sparkSession)
@@ -205,5 +250,5 @@ def overlap_ratio(p: DataFrame, dim: int, slack: float = 1.2) -> DataFrame:
 LINEAR: dict[str, tuple[Callable[[DataFrame, int], DataFrame], bool]] = {
     **{name: (_from_base(name), name in ("ch", "rs", "gd43", "gd53", "csil")) for name in FROM_BASE},
     "db": (davies_bouldin, False), "np_silhouette": (np_silhouette, True), "i_index": (i_index, True), "ps": (partition_separation, True), "sf": (score_function, True),
-    "rcip": (cross_information_potential, False),
+    "rcip": (cross_information_potential, False), "sd": (sd_validity, False), "s_dbw": (s_dbw, False),
 }

@@ -12,9 +12,9 @@ from cohesia.session import Scratch
 
 
 def centroids(p: DataFrame, dim: int) -> DataFrame:
-    """(keys, label, n, mu, ssw): means by coordinate and the sum of squared distances to them, in one scan of partial aggregations."""
+    """(keys, label, n, mu, ssw, var): means by coordinate, the sum of squared distances to them and variances, in one scan of partial aggregations."""
     spread = total([F.var_pop(F.col("x")[i]) for i in range(dim)])
-    return p.groupBy(*KEYS, "label").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(F.col("x")[i]) for i in range(dim))).alias("mu"), (spread * F.count(F.lit(1))).alias("ssw"))
+    return p.groupBy(*KEYS, "label").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(F.col("x")[i]) for i in range(dim))).alias("mu"), (spread * F.count(F.lit(1))).alias("ssw"), F.array(*(F.var_pop(F.col("x")[i]) for i in range(dim))).alias("var"))
 
 
 def cluster_lists(c: DataFrame, dim: int) -> DataFrame:

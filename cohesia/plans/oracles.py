@@ -204,14 +204,29 @@ def oracle_sql() -> dict[str, str]:
     out["medoid_table"] = f"WITH p AS ({emb}), c AS (SELECT label, {_mean_list(64)} AS mu FROM p GROUP BY label) SELECT label::BIGINT AS label, arg_min(row_id, (round({_d2('x', 'mu')}, 12), row_id)) AS medoid_id FROM p JOIN c USING (label) GROUP BY label"
     out["contingency"] = "SELECT lang AS t, source AS p, count(*) AS nij FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2"
     out["majority"] = f"SELECT t, arg_min(p, (-nij, p)) AS best FROM ({out['contingency']}) GROUP BY t"
-    # score tables over label sets
-    sets = f"WITH p AS MATERIALIZED ({_scaled('part')}), {box} SELECT 'gt' AS labelset, row_id, label FROM p UNION ALL {sides}"
-    ls = lambda name: f"SELECT row_id, x, l.label FROM {_scaled('part')} JOIN (SELECT * FROM ({sets}) WHERE labelset = '{name}') l USING (row_id)"
-    each = [f"SELECT '{s}' AS labelset, '{m}' AS metric, value FROM ({_linear(m, ls(s), 2)})" for m in LABEL_SET_METRICS for s in ("gt", "dfl", "dsl", "vl", "hl")]
-    out["score_table"] = " UNION ALL ".join(each)
+    # score tables over label sets: cluster moments of all label sets once, then every metric from them
     up = {"ch": True, "db": False, "sse": False, "xb": False, "wb": False, "bh": False, "rs": True}
-    raw = [f"SELECT '{s}' AS labelset, '{m}' AS metric, {up[m]} AS higher, round_even(value, 3) AS value FROM ({_linear(m, ls(s), 2, 12)})" for m in LABEL_SET_METRICS for s in ("gt", "dfl", "dsl", "vl", "hl")]
-    out["flagged_metrics"] = f"WITH v AS ({' UNION ALL '.join(raw)}) SELECT v.labelset, v.metric, v.value, v.labelset <> 'gt' AND CASE WHEN v.higher THEN v.value > g.value ELSE v.value < g.value END AS flagged FROM v JOIN v g ON v.metric = g.metric AND g.labelset = 'gt'"
+    formulas = {
+        "ch": "(ssb / nullif(k - 1, 0)) / nullif(ssw / nullif(n - k, 0), 0)", "db": "db", "sse": "ssw", "xb": "ssw / nullif(n * md, 0)", "wb": "k * ssw / nullif(ssb, 0)", "bh": "ssw / k",
+        "rs": "1 - sm / nullif((ssw + ssb) / n, 0)",
+    }
+    scores = f"""WITH p AS MATERIALIZED ({_scaled('part')}), {box}, sides AS MATERIALIZED ({sides}),
+      ls AS MATERIALIZED (SELECT 'gt' AS labelset, row_id, x, label FROM p UNION ALL SELECT sides.labelset, row_id, p.x, sides.label FROM p JOIN sides USING (row_id)),
+      c AS MATERIALIZED (SELECT labelset, label, count(*) AS n, [avg(x[1]), avg(x[2])] AS mu FROM ls GROUP BY 1, 2),
+      s AS MATERIALIZED (SELECT labelset, label, any_value(n) AS n, any_value(mu) AS mu, sum({_d2('x', 'mu')}) AS ssw, sum(sqrt({_d2('x', 'mu')})) / any_value(n) AS sc FROM ls JOIN c USING (labelset, label) GROUP BY 1, 2),
+      g AS (SELECT labelset, sum(n) AS n, count(*) AS k, [sum(mu[1] * n) / sum(n), sum(mu[2] * n) / sum(n)] AS mid, sum(ssw) AS ssw, sum(ssw / n) AS sm FROM s GROUP BY 1),
+      bt AS (SELECT labelset, sum(s.n * {_d2('s.mu', 'g.mid')}) AS ssb FROM s JOIN g USING (labelset) GROUP BY 1),
+      pr AS (SELECT a.labelset, a.label, {_d2('a.mu', 'b.mu')} AS d2, (a.sc + b.sc) / nullif(sqrt({_d2('a.mu', 'b.mu')}), 0) AS r FROM s a JOIN s b ON a.labelset = b.labelset AND a.label <> b.label),
+      far AS (SELECT labelset, min(d2) AS md FROM pr GROUP BY 1), ds AS (SELECT labelset, avg(r) AS db FROM (SELECT labelset, label, max(r) AS r FROM pr GROUP BY 1, 2) GROUP BY 1),
+      m AS MATERIALIZED (SELECT * FROM g JOIN bt USING (labelset) LEFT JOIN far USING (labelset) LEFT JOIN ds USING (labelset)),
+      v AS MATERIALIZED ({' UNION ALL '.join(f"SELECT labelset, '{m}' AS metric, {up[m]} AS higher, ({formulas[m]})::DOUBLE AS value FROM m" for m in LABEL_SET_METRICS)})"""
+    out["score_table"] = scores + " SELECT labelset, metric, round(value, 6) AS value FROM v"
+    flagged = """, f AS (SELECT v.labelset, v.metric, v.higher, round_even(v.value, 3) AS value,
+      v.labelset <> 'gt' AND CASE WHEN v.higher THEN round_even(v.value, 3) > round_even(g.value, 3) ELSE round_even(v.value, 3) < round_even(g.value, 3) END AS flagged
+      FROM v JOIN v g ON v.metric = g.metric AND g.labelset = 'gt')"""
+    out["flagged_metrics"] = scores + flagged + " SELECT labelset, metric, value, flagged FROM f"
+    cells = ", ".join(f"max(cell) FILTER (labelset = '{c}') AS {c}" for c in ("gt", "dfl", "dsl", "vl", "hl"))
+    out["score_report"] = scores + flagged + f" SELECT metric || CASE WHEN higher THEN ' (↑)' ELSE ' (↓)' END AS name, {cells} FROM (SELECT *, printf('%.3f', value) || CASE WHEN flagged THEN '*' ELSE '' END AS cell FROM f) GROUP BY 1"
     # trees
     cl = _closure(sup)
     out["mst_edges"] = cl + " SELECT u, v, round(w, 6) AS w FROM tr"
@@ -241,19 +256,35 @@ def oracle_sql() -> dict[str, str]:
     for r in range(3):
         lloyd += f", a{r} AS MATERIALIZED (SELECT row_id, any_value(x) AS x, arg_min(label, (d2, label)) AS label FROM (SELECT p.row_id, p.x, k{r}.label, {_d2('p.x', 'mu')} AS d2 FROM p, k{r}) GROUP BY row_id), k{r + 1} AS (SELECT k0.label, coalesce(mu2, [0.0, 0.0]) AS mu FROM k0 LEFT JOIN (SELECT label, [avg(x[1]), avg(x[2])] AS mu2 FROM a{r} GROUP BY label) USING (label))"
     out["kmeans_lloyd_fixed"] = lloyd + f" SELECT row_id, arg_min(label, (d2, label))::BIGINT AS label FROM (SELECT p.row_id, k3.label, {_d2('p.x', 'mu')} AS d2 FROM p, k3) GROUP BY row_id"
-    # grid: four levels of median splits
+    # grid: eight levels of median splits
     levels = f"WITH q AS MATERIALIZED ({_scaled('part')}), thr AS (SELECT 0.5 / count(*) / ((max(x[1]) - min(x[1])) * (max(x[2]) - min(x[2]))) AS thr, count(*) AS all_n FROM q), b0 AS (SELECT '' AS cell, min(x[1]) AS lo0, min(x[2]) AS lo1, max(x[1]) AS hi0, max(x[2]) AS hi1 FROM q), p0 AS (SELECT row_id, x, label, '' AS cell FROM q)"
-    for k in range(5):
+    for k in range(9):
         ax = k % 2
-        levels += f", s{k} AS (SELECT cell, count(*) AS n, greatest(max(x[1]) - min(x[1]), 1e-6) * greatest(max(x[2]) - min(x[2]), 1e-6) AS volume, median(x[{ax + 1}]) AS cut, max(x[{ax + 1}]) AS top FROM p{k} GROUP BY cell), c{k} AS MATERIALIZED (SELECT s{k}.*, lo0, lo1, hi0, hi1, n / all_n / volume AS density, {k >= 4} OR n <= 8 OR n / all_n / volume < thr OR n < 2 OR top <= cut AS leaf FROM s{k} JOIN b{k} USING (cell), thr)"
-        if k < 4:
+        levels += f", s{k} AS (SELECT cell, count(*) AS n, greatest(max(x[1]) - min(x[1]), 1e-6) * greatest(max(x[2]) - min(x[2]), 1e-6) AS volume, median(x[{ax + 1}]) AS cut, max(x[{ax + 1}]) AS top FROM p{k} GROUP BY cell), c{k} AS MATERIALIZED (SELECT s{k}.*, lo0, lo1, hi0, hi1, n / all_n / volume AS density, {k >= 8} OR n <= 8 OR n / all_n / volume < thr OR n < 2 OR top <= cut AS leaf FROM s{k} JOIN b{k} USING (cell), thr)"
+        if k < 8:
             left = [f"CASE WHEN side = 'L' THEN cut ELSE hi{i} END AS hi{i}" if i == ax else f"hi{i}" for i in (0, 1)]
             right = [f"CASE WHEN side = 'R' THEN cut ELSE lo{i} END AS lo{i}" if i == ax else f"lo{i}" for i in (0, 1)]
             levels += f", b{k + 1} AS (SELECT cell || side AS cell, {', '.join(right)}, {', '.join(left)} FROM c{k}, (VALUES ('L'), ('R')) AS t(side) WHERE NOT leaf), p{k + 1} AS MATERIALIZED (SELECT row_id, x, label, cell || CASE WHEN x[{ax + 1}] <= cut THEN 'L' ELSE 'R' END AS cell FROM p{k} JOIN c{k} USING (cell) WHERE NOT leaf)"
-    leaves = " UNION ALL ".join(f"SELECT cell, {k} AS depth, n, lo0, lo1, hi0, hi1, volume, density FROM c{k} WHERE leaf" for k in range(5))
+    leaves = " UNION ALL ".join(f"SELECT cell, {k} AS depth, n, lo0, lo1, hi0, hi1, volume, density FROM c{k} WHERE leaf" for k in range(9))
     out["grid_cells"] = levels + f" SELECT cell, depth::BIGINT AS depth, n, round(lo0, 6) AS lo0, round(lo1, 6) AS lo1, round(hi0, 6) AS hi0, round(hi1, 6) AS hi1, round(volume, 6) AS volume, round(density, 4) AS density FROM ({leaves})"
-    at = " UNION ALL ".join(f"SELECT row_id, label, cell FROM p{k} JOIN c{k} USING (cell) WHERE leaf" for k in range(5))
+    at = " UNION ALL ".join(f"SELECT row_id, label, cell FROM p{k} JOIN c{k} USING (cell) WHERE leaf" for k in range(9))
     out["grid_purity"] = levels + f", t AS (SELECT cell, label, count(*) AS c FROM ({at}) GROUP BY 1, 2), u AS (SELECT cell, label, c, sum(c) OVER (PARTITION BY cell) AS n FROM t) SELECT cell, any_value(n)::BIGINT AS n, round(max(c / n), 6) AS purity, round(-sum(c / n * log2(c / n)), 6) AS impurity, arg_min(label, (-c, label))::BIGINT AS majority FROM u GROUP BY cell"
+    # two-dimensional forms of indices with matrices, scatter and densities
+    covered = f"WITH p AS MATERIALIZED ({_scaled('customer')}), c AS (SELECT label, avg(x[1]) AS m0, avg(x[2]) AS m1, covar_samp(x[1], x[1]) AS a, covar_samp(x[1], x[2]) AS b, covar_samp(x[2], x[2]) AS d FROM p GROUP BY label)"
+    joint = "SELECT i.m0 - j.m0 AS u, i.m1 - j.m1 AS v, i.a + j.a AS a, i.b + j.b AS b, i.d + j.d AS d FROM c i JOIN c j ON i.label < j.label"
+    out["rcip"] = covered + f" SELECT round(sum(exp(-0.5 * ((d * u * u - 2 * b * u * v + a * v * v) / (a * d - b * b) + ln(a * d - b * b) + 2 * ln(2 * pi())))), 6) AS value FROM ({joint})"
+    for key, name, dim, digits in (("sd", "embeddings", 64, 6), ("sd_lineitem", "lineitem", 2, 4), ("s_dbw", "embeddings", 64, 6), ("s_dbw_lineitem", "lineitem", 2, 4)):
+        listed = lambda f, dim=dim: "[" + ", ".join(f.format(i=i + 1) for i in range(dim)) + "]"
+        norm = lambda v: f"sqrt(list_sum(list_transform({v}, lambda e: e * e)))"
+        head = f"""WITH p AS MATERIALIZED ({POINTS[name]}), c AS MATERIALIZED (SELECT label, {listed('avg(x[{i}])')} AS mu, {listed('var_pop(x[{i}])')} AS va FROM p GROUP BY label),
+          w AS (SELECT {listed('var_pop(x[{i}])')} AS va FROM p), sc AS MATERIALIZED (SELECT sum({norm('c.va')}) / any_value({norm('w.va')}) / count(*) AS scat, sqrt(sum({norm('c.va')})) / count(*) AS sd FROM c, w),
+          pr AS MATERIALIZED (SELECT a.label AS i, b.label AS j, sqrt({_d2('a.mu', 'b.mu')}) AS d, {listed('(a.mu[{i}] + b.mu[{i}]) / 2')} AS mid FROM c a JOIN c b ON a.label <> b.label)"""
+        if key.startswith("sd"):
+            out[key] = head + f" SELECT round((SELECT scat FROM sc) + (SELECT max(d) / nullif(min(d), 0) FROM pr) * (SELECT sum(1 / s) FROM (SELECT sum(d) AS s FROM pr GROUP BY i)), {digits}) AS value"
+        else:
+            out[key] = head + f""", ce AS (SELECT c.label, count(*) FILTER ({_d2('p.x', 'c.mu')} <= sc.sd * sc.sd) AS n FROM c JOIN p USING (label), sc GROUP BY c.label),
+              de AS (SELECT i, j, count(*) FILTER ({_d2('p.x', 'mid')} <= sc.sd * sc.sd) AS n FROM pr JOIN p ON p.label = i OR p.label = j, sc WHERE i < j GROUP BY i, j)
+              SELECT round((SELECT scat FROM sc) + CASE WHEN count(*) = count(nullif(greatest(x.n, y.n), 0)) THEN sum(de.n / nullif(greatest(x.n, y.n), 0)) / count(*) END, {digits}) AS value FROM de JOIN ce x ON x.label = i JOIN ce y ON y.label = j"""
     sizes = [int(300 + (30 - 300) * i / 9) for i in range(10)]
     out["imbalance_sweep"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, round(300.0::DOUBLE / {n}, 6))" for i, n in enumerate(sizes)) + ") AS t(step, value)"
     return out

@@ -159,14 +159,14 @@ def knn_prim_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, dim = frame(spark, sf_dir, "part")
-    _, leaves = grid.grid_points(frames.minmax_scale(frames.dedup(p), dim), dim, 8, 4)
+    _, leaves = grid.grid_points(frames.minmax_scale(frames.dedup(p), dim), dim, 8, 8)
     return leaves.select("cell", C("depth").cast("long").alias("depth"), "n", *(F.round(C(b)[i], 6).alias(f"{b}{i}") for b in ("lo", "hi") for i in range(2)), rounded("volume"), rounded("density", 4))
 
 
 def grid_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, dim = frame(spark, sf_dir, "part")
     q = frames.minmax_scale(frames.dedup(p), dim)
-    settled, _ = grid.grid_points(q, dim, 8, 4)
+    settled, _ = grid.grid_points(q, dim, 8, 8)
     return grid.cell_labels(q, settled).select("cell", "n", rounded("purity"), rounded("impurity"), C("majority").cast("long").alias("majority"))
 
 
@@ -203,7 +203,7 @@ def kmeans_plus_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def estimate_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, dim = frame(spark, sf_dir, "supplier")
-    return analyses.estimate_k(frames.minmax_scale(frames.dedup(p), dim), dim, 2, 5, 5, starts=2)
+    return analyses.estimate_k(frames.minmax_scale(frames.dedup(p), dim), dim, true_k=5)
 
 
 def edging_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,11 +214,11 @@ def edging_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ed_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, dim = frame(spark, sf_dir, "supplier")
-    return edging.ed_kmeans(frames.minmax_scale(frames.dedup(p), dim), dim, 3, rounds=3).select("row_id", C("label").cast("long").alias("label"))
+    return edging.ed_kmeans(frames.minmax_scale(frames.dedup(p), dim), dim, 3).select("row_id", C("label").cast("long").alias("label"))
 
 
 def overlap_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.measure_sweep(spark, "overlap", per_cluster=100, steps=6)
+    return analyses.measure_sweep(spark, "overlap")
 
 
 def imbalance_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,13 +226,13 @@ def imbalance_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analyse_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.analyse_measure(spark, "imbalance", per_cluster=60, steps=5)
+    return analyses.analyse_measure(spark, "imbalance")
 
 
 def external_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, dim = frame(spark, sf_dir, "customer")
     shapes = [(int(r["n"]), r["mu"], (r["cov"][0], r["cov"][1], r["cov"][3])) for r in stats.covariances(p, dim).orderBy("label").collect()]  # one row a cluster
-    return analyses.external_sweep(spark, shapes, [0, 1, 2], [3, 4], (1.0, 2.0, 3.0))
+    return analyses.external_sweep(spark, shapes, [0, 1, 2], [3, 4])
 
 
 def merged_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +270,7 @@ def queries() -> dict[str, Query]:
         return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/documents.parquet"), "lang", "source", **kwargs).select(rounded("value"))
 
     out |= {"pairwise_classes_all": on_documents(external.pairwise_classes), "pairwise_classes_within": on_documents(external.pairwise_classes, mode="within_between"), "minmax_balanced": on_documents(external.minmax_balanced)}
-    out |= {"stratified_subsample": on_documents(external.stratified_subsample, row_id="doc_id", rounds=3), "weighted_bootstrap": on_documents(external.weighted_bootstrap, row_id="doc_id", rounds=3)}
+    out |= {"stratified_subsample": on_documents(external.stratified_subsample, row_id="doc_id"), "weighted_bootstrap": on_documents(external.weighted_bootstrap, row_id="doc_id")}
     out |= {"mst_s": _tree(mst_silhouette), "mst_db": _tree(mst_davies_bouldin), "mst_ch": _tree(mst_calinski_harabasz), "mst_sep_ratio": _tree(mst_separation_ratio)}
     out |= {f"mst_{n}_first": _tree(f, version="first") for n, f in (("s", mst_silhouette), ("db", mst_davies_bouldin), ("ch", mst_calinski_harabasz))} | {"mst_idea": _tree(mst_separation_ratio, version="first")}
     out |= {f"mst_{n}_third": _tree(f, version="third") for n, f in (("s", mst_silhouette), ("db", mst_davies_bouldin), ("ch", mst_calinski_harabasz))}
