@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from cohesia.operators.stats import contingency, majority
 
 C = F.col
+#: Terms of the expected mutual information that one row stands for.
+STRETCH = 65_536
 METHODS = ("macro", "weighted", "sqrt_weighted", "harmonic")
 _ONE = "_all"
 
@@ -82,7 +84,9 @@ def ami_of(table: DataFrame, keys: list[str]) -> DataFrame:
     cb = columns.groupBy(*keys, "bj").agg(F.count(F.lit(1)).alias("cb"))
     grid = ra.join(cb, keys).join(whole, keys)
     low = F.greatest(F.lit(1).cast("long"), C("ai") + C("bj") - C("n"))
-    each = grid.withColumn("m", F.explode(F.sequence(low, F.least("ai", "bj"))))
+    # a pair of margins has as many terms as points: they are dealt out in stretches before they are listed
+    stretches = grid.withColumn("from", F.explode(F.sequence(low, F.least("ai", "bj"), F.lit(STRETCH).cast("long")))).repartition(*keys, "ai", "bj", "from")
+    each = stretches.withColumn("m", F.explode(F.sequence("from", F.least(C("from") + STRETCH - 1, "ai", "bj"))))
     f, m = _stirling, C("m")
     log_p = f(C("ai")) + f(C("bj")) + f(C("n") - C("ai")) + f(C("n") - C("bj")) - f(C("n")) - f(m) - f(C("ai") - m) - f(C("bj") - m) - f(C("n") - C("ai") - C("bj") + m)
     term = C("ca") * C("cb") * m / C("n") * F.log(C("n") * m / (C("ai") * C("bj").cast("double"))) * F.exp(log_p)

@@ -96,8 +96,7 @@ def c_index(p: DataFrame, dim: int, metric: str = "euclidean", compat: bool = Tr
 
 def _least_sum(made: DataFrame, low: float, high: float, count: int, metric: str) -> float:
     """Sum of the count smallest pair distances."""
-    done, seen = 0.0, 0
-    for _ in range(6):
+    while True:  # each round narrows the boundary bin by a factor of BINS
         bins = sorted((b["bin"], b["n"], b["s"]) for b in pp.pair_histogram(made, low, high, metric).collect())  # BINS rows at most
         done, seen = 0.0, 0
         for k, n, s in bins:
@@ -113,7 +112,6 @@ def _least_sum(made: DataFrame, low: float, high: float, count: int, metric: str
             done, seen = done + s, seen + n
         else:
             return done
-    return done + (count - seen) * (low + high) / 2
 
 
 def reflections(p: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:

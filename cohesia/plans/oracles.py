@@ -269,6 +269,19 @@ def oracle_sql() -> dict[str, str]:
     out["grid_cells"] = levels + f" SELECT cell, depth::BIGINT AS depth, n, round(lo0, 6) AS lo0, round(lo1, 6) AS lo1, round(hi0, 6) AS hi0, round(hi1, 6) AS hi1, round(volume, 6) AS volume, round(density, 4) AS density FROM ({leaves})"
     at = " UNION ALL ".join(f"SELECT row_id, label, cell FROM p{k} JOIN c{k} USING (cell) WHERE leaf" for k in range(9))
     out["grid_purity"] = levels + f", t AS (SELECT cell, label, count(*) AS c FROM ({at}) GROUP BY 1, 2), u AS (SELECT cell, label, c, sum(c) OVER (PARTITION BY cell) AS n FROM t) SELECT cell, any_value(n)::BIGINT AS n, round(max(c / n), 6) AS purity, round(-sum(c / n * log2(c / n)), 6) AS impurity, arg_min(label, (-c, label))::BIGINT AS majority FROM u GROUP BY cell"
+    # further frames and sinks
+    marked = f"SELECT row_id, x, CASE WHEN row_id % 7 = 0 THEN -1 ELSE label END AS label FROM ({POINTS['part']})"
+    near = f"SELECT a.row_id, arg_min(b.label, (sqrt({_d2('a.x', 'b.x')}), b.row_id)) AS label FROM q a, q b WHERE a.label = -1 AND b.label <> -1 GROUP BY a.row_id"
+    out["bind_noise"] = f"WITH q AS MATERIALIZED ({marked}) SELECT row_id, label::BIGINT AS label FROM ({near}) UNION ALL SELECT row_id, label::BIGINT FROM q WHERE label <> -1"
+    out["comb_noise"] = f"WITH q AS (SELECT CASE WHEN label = 0 THEN -1 ELSE label END AS label FROM ({POINTS['lineitem']})), t AS (SELECT max(label) AS top FROM q) SELECT CASE WHEN label = -1 THEN top + 1 ELSE label END::BIGINT AS label, count(*) AS n FROM q, t GROUP BY 1"
+    slope = "(x[1] - 0.1) * 6.0 + x[2] * -3.0 + x[3] * 1.0 > 0"  # the normal of (1, 2, 0) and (0, 1, 3)
+    out["plane_sides"] = f"SELECT row_id, (x[1] < 0)::BIGINT AS vertical, (x[3] < 0)::BIGINT AS horizontal, ({slope})::BIGINT AS sloped FROM ({emb})"
+    out["percent_change"] = "SELECT o_orderpriority, round((avg(o_totalprice) / nullif(min(o_totalprice), 0) - 1) * 100, 4) AS change FROM orders GROUP BY 1"
+    plain = ", ".join(f"max(value) FILTER (labelset = '{c}') AS {c}" for c in ("gt", "dfl", "dsl", "vl", "hl"))
+    out["plain_report"] = scores + flagged + f" SELECT metric, {plain} FROM f GROUP BY 1"
+    linear = lambda name, digits: f"({_linear(name, POINTS['lineitem'], 2, digits)})"
+    out["running_indices"] = "SELECT " + ", ".join(f"{linear(n, d)} AS {n}" for n, d in (("sse", LARGE["sse"]), ("ch", 3), ("wb", 3), ("bh", LARGE["bh"])))
+    out["user_metric"] = f"SELECT 'largest_share' AS metric, round(max(n) / sum(n), 6) AS value FROM (SELECT count(*) AS n FROM ({POINTS['customer']}) GROUP BY label)"
     # two-dimensional forms of indices with matrices, scatter and densities
     covered = f"WITH p AS MATERIALIZED ({_scaled('customer')}), c AS (SELECT label, avg(x[1]) AS m0, avg(x[2]) AS m1, covar_samp(x[1], x[1]) AS a, covar_samp(x[1], x[2]) AS b, covar_samp(x[2], x[2]) AS d FROM p GROUP BY label)"
     joint = "SELECT i.m0 - j.m0 AS u, i.m1 - j.m1 AS v, i.a + j.a AS a, i.b + j.b AS b, i.d + j.d AS d FROM c i JOIN c j ON i.label < j.label"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +13,10 @@ from cohesia.functions.density import cdbw, dbcv
 from cohesia.functions.internal import LINEAR, imbalance_ratio, overlap_ratio
 from cohesia.functions.pairwise import PAIRWISE
 from cohesia.functions.tree import mst_calinski_harabasz, mst_davies_bouldin, mst_separation_ratio, mst_silhouette
-from cohesia.operators import edging, frames, grid, kmeans, mst, stats
-from cohesia.plans import analyses
+from cohesia.operators import edging, frames, grid, kmeans, mst, pairs, stats
+from cohesia.plans import analyses, registry
 from cohesia.sources import generators, readers, report
+from cohesia.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 C = F.col
@@ -248,6 +250,64 @@ def generated_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("dataset", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def bind_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _ = frame(spark, sf_dir, "part")
+    q = p.withColumn("label", F.when(C("row_id") % 7 == 0, -1).otherwise(C("label")).cast("int"))
+    return pairs.bind_noise(q).select("row_id", C("label").cast("long").alias("label"))
+
+
+def comb_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _ = frame(spark, sf_dir, "lineitem")
+    q = p.withColumn("label", F.when(C("label") == 0, -1).otherwise(C("label")).cast("int"))
+    return frames.comb_noise(q).groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(C("label").cast("long").alias("label"), "n")
+
+
+def plane_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _ = frame(spark, sf_dir, "embeddings")
+    kinds = {"vertical": {}, "horizontal": {}, "sloped": {"p": (0.1, 0.0, 0.0), "v1": (1, 2, 0), "v2": (0, 1, 3)}}
+    return p.select("row_id", *(frames.plane_side(C("x"), kind, **args).cast("long").alias(kind) for kind, args in kinds.items()))
+
+
+def random_label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _ = frame(spark, sf_dir, "part")
+    return frames.label_sets(p).groupBy("labelset", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def randomise_minority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _ = frame(spark, sf_dir, "customer")
+    return frames.randomise_minority(p, [3, 4], 5).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def percent_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderpriority").agg(F.min("o_totalprice").alias("low"), F.avg("o_totalprice").alias("mid"))
+    return by.select("o_orderpriority", F.round(stats.percent_change(C("low"), C("mid")), 4).alias("change"))
+
+
+def plain_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, dim = frame(spark, sf_dir, "part")
+    q = frames.minmax_scale(frames.dedup(p), dim)
+    q = q.unionByName(frames.line_label_sets(q))
+    return report.plain_report(analyses.score_table(q, dim, LABEL_SET_METRICS), ["gt", "dfl", "dsl", "vl", "hl"]).drop("dataset")
+
+
+def running_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, dim = frame(spark, sf_dir, "lineitem")
+    out = incremental.indices(incremental.running_stats(p, dim), dim)
+    return out.select(rounded("sse", LARGE["sse"]), rounded("ch", 3), rounded("wb", 3), rounded("bh", LARGE["bh"]))
+
+
+def user_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry.register("largest_share", lambda x, labels: float(np.bincount(labels).max()) / len(labels))
+    p, dim = frame(spark, sf_dir, "customer")
+    return analyses.score_table(p, dim, ["largest_share"]).select("metric", rounded("value"))
+
+
+def pca_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, dim = frame(spark, sf_dir, "embeddings")
+    q = kmeans.project_2d(p)
+    return q.select("row_id", F.round(F.abs(C("x")[0]), 4).alias("x0"), F.round(F.abs(C("x")[1]), 4).alias("x1"))
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name, (plan, _) in LINEAR.items():
@@ -279,6 +339,7 @@ def queries() -> dict[str, Query]:
     own = (
         dedup_points, reencode_labels, minmax_scale, label_sets_lines, label_sets_midpoint, singleton_noise, cluster_moments, centroid_table, medoid_table, contingency, majority, score_table, flagged_metrics, score_report,
         mst_edges, bottleneck_to_medoid, knn_prim_edges, grid_cells, grid_purity, grid_score, grid_diagnostics, kmeans_lloyd_fixed, kmeans_plus_plus, estimate_k, edging_distance, ed_kmeans,
-        overlap_sweep, imbalance_sweep, analyse_imbalance, external_sweep, merged_labels, generated_shapes,
+        overlap_sweep, imbalance_sweep, analyse_imbalance, external_sweep, merged_labels, generated_shapes, bind_noise, comb_noise, plane_sides, random_label_sets, randomise_minority,
+        percent_change, plain_report, running_indices, user_metric, pca_plane,
     )
     return out | {f.__name__: f for f in own} | {"dbcv": dbcv_index, "cdbw": cdbw_index}

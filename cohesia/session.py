@@ -2,7 +2,7 @@
 
 ``materialise`` cuts lineage by writing Parquet into the shared folder named
 by ``spark.checkpoint.dir``. Parquet is compressed and survives the loss of any
-executor. A private folder is used only when the setting is absent (tests).
+executor. A private folder is used only when the setting is absent in local mode (tests); on a cluster that is refused.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ def scratch_root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _PRIVATE:
         _PRIVATE[app] = tempfile.mkdtemp(prefix="cohesia-scratch-")
