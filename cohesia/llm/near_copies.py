@@ -239,8 +239,8 @@ def near_copies(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool
         links = links.unionByName(more)
         component = _components(links, scratch)
 
-    one, two = (open_.select("s", F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"), F.col("c").alias(f"c{x}")) for x in ("a", "b"))
-    rest = one.join(two, (one.s == two.s) & (F.col("ca") != F.col("cb")) & _may_reach("a", "b")).select("a", "b").distinct()
+    one, two = (open_.select(F.col("s").alias(f"s{x}"), F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"), F.col("c").alias(f"c{x}")) for x in ("a", "b"))
+    rest = one.join(two, (F.col("sa") == F.col("sb")) & (F.col("ca") != F.col("cb")) & _may_reach("a", "b")).select("a", "b").distinct()
     more = verified(scratch.keep(rest))
     if not more.isEmpty():
         component = _components(links.unionByName(more), scratch)
