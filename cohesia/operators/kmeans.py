@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -89,7 +91,9 @@ def kmeans(p: DataFrame, dim: int, k: int, max_rounds: int = 100, seed: int = 42
 def ml_kmeans(p: DataFrame, k: int, starts: int = 10, seed: int = 42) -> DataFrame:
     """The library's k-means over one data set, the best of several starts by cost."""
     vectors = p.select(*KEYS, "row_id", "x", array_to_vector("x").alias("v"))
-    fits = [KMeans(k=k, seed=seed + s, featuresCol="v", predictionCol="label", maxIter=100).fit(vectors) for s in range(starts)]
+    fit = lambda s: KMeans(k=k, seed=seed + s, featuresCol="v", predictionCol="label", maxIter=100).fit(vectors)
+    with ThreadPoolExecutor(min(starts, 8)) as pool:  # starts are independent of each other
+        fits = list(pool.map(fit, range(starts)))
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return best.transform(vectors).select(*KEYS, "row_id", "x", C("label").cast("int").alias("label"))
 

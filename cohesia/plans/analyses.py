@@ -65,8 +65,9 @@ def estimate_k(p: DataFrame, dim: int, min_k: int = 2, max_k: int = 10, true_k:
     if min_k < 2 or max_k > n - 1 or true_k is not None and true_k < 2:
         raise ValueError("k must lie in 2 to n - 1")
     plan, higher = metric(score)
-    labelled = [ml_kmeans(p, k, starts).withColumn("labelset", F.lit(str(k))) for k in range(min_k, max_k + 1)]
     scratch = Scratch(p.sparkSession)
+    p = scratch.keep(p)
+    labelled = [ml_kmeans(p, k, starts).withColumn("labelset", F.lit(str(k))) for k in range(min_k, max_k + 1)]
     scores = scratch.keep(plan(reduce(DataFrame.unionByName, labelled).select(*KEYS, "row_id", "x", "label"), dim).select(C("labelset").cast("int").alias("k"), C("value").alias("score")))
     best = scores.agg(F.min_by("k", F.struct(-C("score") if higher else C("score"), C("k")))).first()[0]
     is_true = (C("k") == true_k) if true_k else F.lit(False)
