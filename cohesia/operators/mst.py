@@ -74,6 +74,26 @@ def prim(x: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, float]]:
     return edges
 
 
+def prim_of_copies(x: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, float]]:
+    """The tree of ``prim`` where many points are copies: Prim's algorithm on the first of each, to which its copies are tied.
+
+    That is the same tree, since edges between copies come first and those of the smallest id before the others.
+    Distinct points so close that their distance is 0 would mix with them; then all points go through ``prim``.
+    """
+    _, of = np.unique(x + 0.0, axis=0, return_inverse=True)
+    of = of.ravel()
+    by = np.lexsort((ids, of))
+    heads = np.flatnonzero(np.r_[True, of[by][1:] != of[by][:-1]])
+    if len(heads) == len(x):
+        return prim(x, ids)
+    first = np.repeat(by[heads], np.diff(np.r_[heads, len(by)]))
+    edges = prim(x[by[heads]], ids[by[heads]])
+    if any(w == 0 for _, _, w in edges):
+        return prim(x, ids)
+    later = by != first
+    return edges + [(u, v, 0.0) for u, v in zip(ids[first[later]].tolist(), ids[by[later]].tolist(), strict=True)]
+
+
 def _before(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Whether the unordered pair (a, b) comes before (c, d), by smaller id and then by larger."""
     low, other = np.minimum(a, b), np.minimum(c, d)
@@ -109,7 +129,7 @@ def _prim_group(mode: str, k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = guarded(pdf, f"{mode} spanning tree")
         x, ids = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1), pdf["row_id"].to_numpy()
-        edges = prim(x, ids) if mode == "prim" else [(int(min(ids[u], ids[v])), int(max(ids[u], ids[v])), w) for u, v, w in knn_limited_prim(x, k)]
+        edges = prim_of_copies(x, ids) if mode == "prim" else [(int(min(ids[u], ids[v])), int(max(ids[u], ids[v])), w) for u, v, w in knn_limited_prim(x, k)]
         out = pd.DataFrame(edges, columns=["u", "v", "w"]) if edges else pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64"), "w": pd.Series(dtype=float)})
         out.insert(0, "labelset", pdf["labelset"].iloc[0])
         out.insert(0, "dataset", pdf["dataset"].iloc[0])
