@@ -11,7 +11,9 @@ for that radius would be 2^11 and more. So links come from two sides, and each i
    Sets that meet are proposed in rounds, one candidate for each text, then one for each two components that meet
    (that with most shared shingles), until a round joins nothing. So a large group of near copies
    is joined by about as many pairs as it has members. What still meets in different components is compared by
-   pairs, under the filters of size and position.
+   pairs, under the filters of size and position. Shingles that the same sets have in front count as one, by the first of them.
+   Each set carries the parities of its shingles by ``MARKS`` classes; no more of them differ than shingles do, so pairs
+   that differ in too many cannot reach the threshold. A pair is verified once.
 
 Texts with equal sets are one node. Groups are connected components. One row of each stays: that with the smallest
 doc_id (nulls last), then the smallest hash of its text; rows equal in both doc_id and text count as one. Null ids
@@ -22,6 +24,7 @@ one shingle. Columns other than ``doc_id`` and ``text`` pass through, whatever t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,8 @@ SEED = 42
 NUM, DEN = 4, 5
 #: Counters of shingles (by the first bits of their hashes), and how many of them make one row of counts.
 BITS, CHUNK = 18, 4096
+#: Parities that a set carries, a multiple of 64.
+MARKS = 1024
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _SLOT = np.uint64(64 - BITS)
 
@@ -82,6 +87,22 @@ def sketch(found: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """For each class of shingle hashes whether the set has an odd number of them, as 64-bit words."""
+    odd = np.bincount((found & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _sum(terms: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms)
+
+
+def _alike(a: str, b: str, na: Column, nb: Column) -> Column:
+    """Whether the parities of two sets allow that they reach the threshold: (NUM + DEN) x differing shingles <= (DEN - NUM) x (na + nb)."""
+    differ = _sum([F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(MARKS // 64)])
+    return (NUM + DEN) * differ <= (DEN - NUM) * (na + nb)
+
+
 def shingle_order(texts: DataFrame) -> np.ndarray:
     """For each counter the logarithm of its shingles in the whole corpus, as a small integer.
 
@@ -134,12 +155,13 @@ def _rows(keyed: DataFrame, order: np.ndarray) -> DataFrame:
             out["rid"] = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], dtype=np.uint64).view(np.int64)
             out["n"] = [len(s) for s in found]
             out["fp"] = [sketch(s) for s in found]
+            out["odd"] = [parities(s) for s in found]
             out["front"] = [front(s, known).view(np.int64) for s in found]
             return out
 
         return step
 
-    return map_batches(keyed, make, "doc_id long, r1 long, r2 long, rid long, n long, fp long, front array<long>")
+    return map_batches(keyed, make, "doc_id long, r1 long, r2 long, rid long, n long, fp long, odd array<long>, front array<long>")
 
 
 def _is_short(n: Column, at: Column) -> Column:
@@ -197,7 +219,7 @@ def _fingerprint_pairs(groups: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _proposals(met: DataFrame, by: list[str]) -> DataFrame:
     """Of the pairs (a, b) of ``met`` the one that meets most often, for each value of ``by``."""
-    often = met.groupBy(*by, *(x for x in ("a", "b") if x not in by)).agg(F.count(F.lit(1)).alias("times"))
+    often = met.groupBy(*by, *(x for x in ("a", "b") if x not in by)).agg(F.sum("weight").alias("times"))
     return often.groupBy(*by).agg(F.max(F.struct("times", "a", "b")).alias("m")).select("m.a", "m.b")
 
 
@@ -206,7 +228,7 @@ def near_copies(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool
     keyed = with_row_key(documents.select("doc_id", "text"))
     rows = scratch.keep(_rows(keyed, shingle_order(documents)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("first")
-    groups = scratch.keep(rows.groupBy("rid").agg(first, F.min("n").alias("n"), F.min("fp").alias("fp")))
+    groups = scratch.keep(rows.groupBy("rid").agg(first, F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("odd").alias("odd")))
     # the front of each set once
     own = groups.select("rid", "first.r1", "first.r2")
     whole = rows.select("rid", "r1", "r2", "n", "front").join(own.hint("shuffle_hash"), ["rid", "r1", "r2"], "left_semi")
@@ -215,33 +237,37 @@ def near_copies(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool
         whole = whole.dropDuplicates(["rid"])
     dealt = whole.select("rid", "n", F.posexplode("front").alias("p", "s")).repartition("s")
     # a shingle counts if several sets have it, one of them among the shingles that the smaller set is found by
-    counts = dealt.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min(F.when(_is_short(F.col("n"), F.col("p")), F.struct("rid", "n"))).alias("pivot"))
-    buckets = scratch.keep(dealt.join(counts.where("m > 1 and pivot is not null").select("s", "pivot"), "s"))
+    pivot = F.min(F.when(_is_short(F.col("n"), F.col("p")), F.struct("rid", "n"))).alias("pivot")
+    counts = dealt.groupBy("s").agg(F.count(F.lit(1)).alias("m"), pivot, *_members()).where("m > 1 and pivot is not null")
+    buckets = scratch.keep(dealt.join(_leading(counts), "s"))
     scratch.drop(rows)
 
     fits = (DEN * F.col("n") >= NUM * F.col("pivot.n")) & (DEN * F.col("pivot.n") >= NUM * F.col("n"))
-    to_pivot = buckets.where(fits & (F.col("rid") != F.col("pivot.rid"))).select(F.col("rid").alias("a"), F.col("pivot.rid").alias("b"))
+    to_pivot = buckets.where(fits & (F.col("rid") != F.col("pivot.rid"))).select(F.col("rid").alias("a"), F.col("pivot.rid").alias("b"), "weight")
     by_hash = scratch.keep(_fingerprint_pairs(groups, scratch))
     by_front = scratch.keep(_proposals(to_pivot, ["a"]))
     ends = by_hash.select(F.col("a").alias("rid")).unionByName(by_hash.select(F.col("b").alias("rid"))).unionByName(buckets.select("rid")).distinct()
     verified = _Verifier(keyed, groups, ends, scratch)
-    links = verified(by_hash.unionByName(by_front).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    tried = scratch.keep(_in_order(by_hash.unionByName(by_front)))
+    links = verified(tried)
     component = _components(links, scratch)
 
     while True:  # each round joins components, so their number falls until none is joined
-        open_ = scratch.keep(_open(buckets, component))
-        least = open_.groupBy("s").agg(F.min(F.struct("c", "rid", "n")).alias("pivot"))
-        met = open_.join(least, "s").where(F.col("c") != F.col("pivot.c")).where(fits)
-        pairs = _proposals(met.select("c", F.col("pivot.c").alias("d"), F.col("rid").alias("a"), F.col("pivot.rid").alias("b")), ["c", "d"])
+        open_ = scratch.keep(_open(buckets, component, groups))
+        least = open_.groupBy("s").agg(F.min(F.struct("c", "rid", "n", "odd")).alias("pivot"))
+        met = open_.join(least, "s").where((F.col("c") != F.col("pivot.c")) & fits & _alike("odd", "pivot.odd", F.col("n"), F.col("pivot.n")))
+        pairs = _proposals(met.select("c", F.col("pivot.c").alias("d"), F.col("rid").alias("a"), F.col("pivot.rid").alias("b"), "weight"), ["c", "d"])
+        pairs = scratch.keep(_in_order(pairs).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
         more = verified(pairs)
         if more.isEmpty():
             break
         links = links.unionByName(more)
         component = _components(links, scratch)
 
-    one, two = (open_.select(F.col("s").alias(f"s{x}"), F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"), F.col("c").alias(f"c{x}")) for x in ("a", "b"))
-    rest = one.join(two, (F.col("sa") == F.col("sb")) & (F.col("ca") != F.col("cb")) & _may_reach("a", "b")).select("a", "b").distinct()
-    more = verified(scratch.keep(rest))
+    one, two = (open_.select(F.col("s").alias(f"s{x}"), F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"), F.col("c").alias(f"c{x}"), F.col("odd").alias(f"odd{x}")) for x in ("a", "b"))
+    rest = one.join(two, (F.col("sa") == F.col("sb")) & (F.col("ca") != F.col("cb")) & _may_reach("a", "b") & _alike("odda", "oddb", F.col("na"), F.col("nb")))
+    more = verified(scratch.keep(_in_order(rest).join(tried, ["a", "b"], "left_anti")))
     if not more.isEmpty():
         component = _components(links.unionByName(more), scratch)
     in_group = groups.join(component, groups.rid == component.node, "left").select(F.coalesce("component", "rid").alias("c"), "first")
@@ -252,11 +278,30 @@ def _components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(connected_components(links, Scratch(scratch.spark)))
 
 
-def _open(buckets: DataFrame, component: DataFrame) -> DataFrame:
-    """The rows of shingles that several components share, with their component c."""
-    labelled = buckets.drop("pivot").join(component, F.col("rid") == F.col("node"), "left").select("s", "rid", "n", "p", F.coalesce("component", "rid").alias("c"))
+def _in_order(pairs: DataFrame) -> DataFrame:
+    """Each unordered pair (a, b) once, the smaller first."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _members() -> list[Column]:
+    """Aggregates that know the sets of a shingle by 128 bits, and the place of the shingle in the first of them."""
+    return [F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(SEED))).alias("y"), F.min(F.struct("rid", "p")).alias("lead")]
+
+
+def _leading(counts: DataFrame) -> DataFrame:
+    """(s, pivot, weight): of the shingles that the same sets have in front the first one by the common order, and how many they are.
+
+    Two sets meet first at such a shingle: an earlier one with the same members would be shared by both.
+    """
+    same = counts.groupBy("m", "x", "y", "lead.rid").agg(F.min(F.struct("lead.p", "s", "pivot")).alias("e"), F.count(F.lit(1)).alias("weight"))
+    return same.select("e.s", "e.pivot", "weight")
+
+
+def _open(buckets: DataFrame, component: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of shingles that several components share, with their component c and the parities of their sets."""
+    labelled = buckets.drop("pivot").join(component, F.col("rid") == F.col("node"), "left").select("s", "rid", "n", "p", "weight", F.coalesce("component", "rid").alias("c"))
     several = labelled.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s")
-    return labelled.join(several, "s")
+    return labelled.join(several, "s").join(groups.select("rid", "odd"), "rid")
 
 
 def _repeated(rows: DataFrame) -> bool:
