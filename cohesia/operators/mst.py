@@ -148,18 +148,20 @@ def boruvka(p: DataFrame) -> DataFrame:
         def work(a, others):
             # the least edge out of each component that has points in the block; of equal ones that of the smaller ids
             ids, own, xs, _ = a
-            out: dict[int, tuple[float, int, int]] = {}
+            near, who = np.full(len(ids), np.inf), np.full(len(ids), np.iinfo(np.int64).max)
             for (jds, theirs, ys, _), _ in others:
-                d = np.where(own[:, None] == theirs[None, :], np.inf, distances(xs, ys))
-                low = d.min(axis=1)
-                for i in np.flatnonzero(np.isfinite(low)):
-                    near = jds[d[i] == low[i]]
-                    lo, hi = np.minimum(near, ids[i]), np.maximum(near, ids[i])
-                    k = np.lexsort((hi, lo))[0]
-                    edge = (float(low[i]), int(lo[k]), int(hi[k]))
-                    if edge < out.get(int(own[i]), (np.inf, 0, 0)):
-                        out[int(own[i])] = edge
-            return [np.array(list(out), dtype=np.int64), *(np.array(c) for c in zip(*out.values(), strict=True))] if out else [np.zeros(0)] * 4
+                by = np.argsort(jds)  # of a point's equal edges that to the smallest id comes first
+                d = distances(xs, ys[by])
+                d[own[:, None] == theirs[None, by]] = np.inf
+                at = d.argmin(axis=1)
+                least, j = d[np.arange(len(ids)), at], jds[by][at]
+                closer = (least < near) | np.isfinite(least) & (least == near) & (j < who)
+                near[closer], who[closer] = least[closer], j[closer]
+            i = np.flatnonzero(np.isfinite(near))
+            low, high = np.minimum(ids[i], who[i]), np.maximum(ids[i], who[i])
+            by = np.lexsort((high, low, near[i], own[i]))
+            first = by[np.r_[True, np.diff(own[i][by]) != 0][: len(by)]]
+            return [own[i][first], near[i][first], low[first], high[first]]
 
         made = blocks(nodes)
         parts = block_pairs(made, made, work, "dataset string, labelset string, comp long, w double, u long, v long")
