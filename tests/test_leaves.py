@@ -52,3 +52,11 @@ def test_nearest_and_kernel(spark, small):
         assert (r["label"], r["near"], r["far"]) == (w["label"], w["near"], w["far"])
         assert abs(r["kernel"] - w["kernel"]) <= 1e-11 * w["kernel"]
     assert pairwise.viasckde(p, 2).collect()[0]["value"] is None  # as before for a cluster of one
+
+
+@pytest.mark.parametrize("plan", [pairwise.viasckde, pairwise.viasckde_cumulative])
+def test_viasckde_over_leaves(spark, small, plan):
+    p = _points(spark, "scaled").where("label < 4")
+    want = plan(p, 2).collect()[0]["value"]
+    small()
+    assert abs(plan(p, 2).collect()[0]["value"] - want) < 1e-10
